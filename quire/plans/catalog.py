@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from quire.plans import hierarchies
 from quire.session import read
 
 
@@ -16,9 +17,9 @@ def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return {}
+    return hierarchies.queries()
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> SQL."""
-    return {}
+    return hierarchies.oracle_sql()
