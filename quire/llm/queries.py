@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chosenpath, confusables
-from quire.session import read
+from quire.llm import chosenpath, confusables, mixing, packing, tokens
+from quire.session import cut, read
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,6 +23,36 @@ def p5_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.withColumnRenamed("id", "doc_id")
 
 
+def _sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tokens.token_counts(read(spark, sf_dir, "documents"), keep=("source",))
+
+
+def _packed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.containers(_sizes(spark, sf_dir).select("id", "n_tokens"), read(spark, sf_dir, "token_windows"))
+
+
+def p6_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each window, the container of every text or piece of a text."""
+    return _packed(spark, sf_dir).withColumnRenamed("id", "doc_id")
+
+
+def p6_unused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each window, how many containers there are and how much of them is unused."""
+    return packing.unused_space(cut(_packed(spark, sf_dir)))
+
+
+def p7_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents drawn for each mix, with their repeats."""
+    drawn = mixing.mixture(_sizes(spark, sf_dir), read(spark, sf_dir, "mix_targets"))
+    return drawn.withColumnRenamed("id", "doc_id")
+
+
+def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The target and the actual share of each source in each mix."""
+    targets = read(spark, sf_dir, "mix_targets")
+    return mixing.mixture_report(mixing.mixture(_sizes(spark, sf_dir), targets), targets)
+
+
 def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of documents whose texts look the same and are stored in different characters."""
     pairs = confusables.same_look_pairs(read(spark, sf_dir, "documents"))
@@ -44,6 +74,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p5_found": p5_found,
         "p5_groups": p5_groups,
+        "p6_containers": p6_containers,
+        "p6_unused": p6_unused,
+        "p7_mixture": p7_mixture,
+        "p7_shares": p7_shares,
         "p8_found": p8_found,
         "p8_groups": p8_groups,
         "p8_consistent_text": p8_consistent_text,
