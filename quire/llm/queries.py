@@ -7,10 +7,37 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chosenpath, confusables, mixing, packing, tokens
+from quire.llm import chosenpath, confusables, history, mixing, names, packing, tokens
 from quire.session import cut, read
 
 
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pairs of spellings in the author lists that mean the same person or body."""
+    return names.name_pairs(read(spark, sf_dir, "documents"))
+
+
+def p1_people(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each person or body with its most used spelling, the number of spellings and of mentions."""
+    who = names.people(read(spark, sf_dir, "documents"))
+    best = F.max_by("spelling", F.struct("n", F.length("spelling"), "spelling")).alias("best_spelling")
+    return who.groupBy("who").agg(best, F.count("*").alias("n_spellings"), F.sum("n").alias("n_mentions"))
+
+
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each newcomer of a later batch whose work the library holds, with the first record of its work."""
+    found = history.newcomers(read(spark, sf_dir, "documents"), read(spark, sf_dir, "document_files"))
+    return found.select(F.col("first_id").alias("doc_id_a"), F.col("doc_id").alias("doc_id_b"))
+
+
+def p3_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """For each later batch the number of its records, of known works among them, and of first records."""
+    documents = read(spark, sf_dir, "documents")
+    found = history.newcomers(documents, read(spark, sf_dir, "document_files")).groupBy("batch").agg(F.count("*").alias("n_known"))
+    every = documents.where("import_batch >= 1").groupBy(F.col("import_batch").alias("batch")).agg(F.count("*").alias("n_records"))
+    joined = every.join(found, "batch", "left").withColumn("n_known", F.coalesce("n_known", F.lit(0).cast("long")))
+    return joined.select(F.col("batch").alias("import_batch"), "n_records", "n_known", (F.col("n_records") - F.col("n_known")).alias("n_new"))
+
+
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Pairs of records that share at least 60 % of their three-word sequences."""
     pairs = chosenpath.near_duplicate_pairs(read(spark, sf_dir, "documents"))
@@ -72,6 +99,10 @@ def p8_consistent_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
     return {
+        "p1_found": p1_found,
+        "p1_people": p1_people,
+        "p3_found": p3_found,
+        "p3_batches": p3_batches,
         "p5_found": p5_found,
         "p5_groups": p5_groups,
         "p6_containers": p6_containers,
