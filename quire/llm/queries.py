@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quire.llm import chosenpath, confusables, history, mixing, names, packing, tokens
+from quire.llm import chosenpath, confusables, history, mixing, names, packing, scans, tokens
 from quire.session import cut, read
 
 
@@ -23,6 +23,18 @@ def p1_people(spark: SparkSession, sf_dir: str) -> DataFrame:
     return who.groupBy("who").agg(best, F.count("*").alias("n_spellings"), F.sum("n").alias("n_mentions"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The damaged lines of the scanned pages: page matter, broken words, misread characters."""
+    found = scans.defects(read(spark, sf_dir, "document_pages"), read(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("document_id"), F.col("page").alias("page_number"), F.col("line").alias("line_no"), "defect").distinct()
+
+
+def p2_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each page's running paragraphs, repaired."""
+    text = scans.paragraphs(read(spark, sf_dir, "document_pages"), read(spark, sf_dir, "documents"))
+    return text.select(F.col("doc").alias("document_id"), F.col("page").alias("page_number"), "text")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Each newcomer of a later batch whose work the library holds, with the first record of its work."""
     found = history.newcomers(read(spark, sf_dir, "documents"), read(spark, sf_dir, "document_files"))
@@ -101,6 +113,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "p1_found": p1_found,
         "p1_people": p1_people,
+        "p2_found": p2_found,
+        "p2_paragraphs": p2_paragraphs,
         "p3_found": p3_found,
         "p3_batches": p3_batches,
         "p5_found": p5_found,
