@@ -6,20 +6,21 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import hierarchies
-from quire.session import read
+from quire.plans import hierarchies, libraries, searching
+
+MODULES = (hierarchies, libraries, searching)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The query that ``entry`` runs."""
-    return read(spark, sf_dir, "documents").groupBy("source").count()
+    return searching.fts_documents(spark, sf_dir)
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    return hierarchies.queries()
+    return {name: query for module in MODULES for name, query in module.queries().items()}
 
 
 def oracle_sql() -> dict[str, str]:
     """Name -> SQL."""
-    return hierarchies.oracle_sql()
+    return {name: sql for module in MODULES for name, sql in module.oracle_sql().items()}
