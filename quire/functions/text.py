@@ -246,7 +246,7 @@ def normalise_title(col: Column | str) -> Column:
 
 def author_list(col: Column | str) -> Column:
     """Names of a list parted by ; or the word and."""
-    return F.filter(F.transform(F.split(text_of(col), r"\s*;\s*|\s+and\s+"), F.trim), lambda x: x != "")
+    return F.filter(F.transform(F.split(text_of(col), r"\s*;\s*|\s+and\s+"), strip), lambda x: x != "")
 
 
 def bibtex_escape(col: Column | str) -> Column:

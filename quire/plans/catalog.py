@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import hierarchies, libraries, searching
+from quire.plans import hierarchies, ingesting, libraries, searching
 
-MODULES = (hierarchies, libraries, searching)
+MODULES = (hierarchies, libraries, searching, ingesting)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
