@@ -6,9 +6,9 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quire.plans import hierarchies, ingesting, libraries, searching
+from quire.plans import hierarchies, ingesting, libraries, searching, taxonomies, working
 
-MODULES = (hierarchies, libraries, searching, ingesting)
+MODULES = (hierarchies, libraries, searching, ingesting, taxonomies, working)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
