@@ -104,6 +104,8 @@ class Model:
         # Words that another word of the corpus may have become: only a line's context tells them apart.
         self.doubtful = {w for w, n in self.words.items() if w not in self.noise and w != "#" and any(v in self.words and v not in self.noise and v != w for v, _, _ in reversals(w))}
 
+        self.sure = (set(self.words) - self.noise) | {"#"}
+
     def known(self, word: str) -> bool:
         return word == "#" or (word in self.words and word not in self.noise)
 
@@ -140,23 +142,39 @@ class Model:
         return math.log((n + 10.0 * (base + 0.3) / self.total) / (before + 10.0))
 
     def plain(self, line: list[str]) -> bool:
-        """Whether nothing in the line asks for decoding."""
-        last = ""
-        words, noise, doubtful, pairs = self.words, self.noise, self.doubtful, self.pairs
+        """Whether nothing in the line asks for decoding: every word known, every doubtful one in known company."""
+        if not self.sure.issuperset(line):
+            return False
+        if self.doubtful.isdisjoint(line):
+            return True
+        pairs, doubtful = self.pairs, self.doubtful
+        last = len(line) - 1
         for i, w in enumerate(line):
-            if w not in words or w in noise:
-                return False
-            if w in doubtful and ((last, w) not in pairs or (i + 1 < len(line) and (w, line[i + 1]) not in pairs)):
+            if w in doubtful and ((line[i - 1] if i else "", w) not in pairs or (i < last and (w, line[i + 1]) not in pairs)):
                 return False
-            last = w
         return True
 
     def decode(self, line: list[str]) -> list[str]:
-        """The likeliest words of a line (Viterbi over the candidates of each word)."""
-        lattice = [self.candidates(w) if (not self.known(w) or w in self.doubtful) else [(w, 0.0)] for w in line]
-        if all(len(c) == 1 for c in lattice):
-            return line
-        score = [(s + self.pair("", v), [v]) for v, s in lattice[0]]
-        for column in lattice[1:]:
-            score = [max(((t + self.pair(way[-1], v) + s, [*way, v]) for t, way in score), key=lambda x: x[0]) for v, s in column]
-        return max(score, key=lambda x: x[0])[1]
+        """The likeliest words of a line (Viterbi over the candidates of each word).
+
+        A word without other candidates is the same on every path, so each run of words with candidates
+        is decoded between its neighbours.
+        """
+        out = list(line)
+        i, n = 0, len(line)
+        while i < n:
+            w = line[i]
+            if (w in self.sure and w not in self.doubtful) or len(self.candidates(w)) == 1:
+                i += 1
+                continue
+            before = out[i - 1] if i else ""
+            paths = [(s + self.pair(before, v), [v]) for v, s in self.candidates(w)]
+            i += 1
+            while i < n and not (line[i] in self.sure and line[i] not in self.doubtful) and len(self.candidates(line[i])) > 1:
+                paths = [max(((t + self.pair(way[-1], v) + s, [*way, v]) for t, way in paths), key=lambda x: x[0]) for v, s in self.candidates(line[i])]
+                i += 1
+            if i < n:
+                paths = [(t + self.pair(way[-1], line[i]), way) for t, way in paths]
+            best = max(paths, key=lambda x: x[0])[1]
+            out[i - len(best) : i] = best
+        return out

@@ -33,7 +33,8 @@ from quire.session import cut
 MARKS = "-‐¬\xad"
 BROKEN = re.compile(rf"([^\W_]+)([{MARKS}])\s*$")
 ACROSS = re.compile(rf"[^\W_]+[{MARKS}][ \t]*\n\s*[^\W_]+")
-INNER = re.compile(r"([^\W_]+)(?=[-‐]([^\W_]+))")
+INNER = re.compile(r"[-‐](?=[^\W_])")
+LEFT, RIGHT = re.compile(r"[^\W_]+$"), re.compile(r"[^\W_]+")
 FIRST = re.compile(r"^\W*?([^\W_]+)")
 NUMBER_FORM = re.compile(r"(?:(?:page|p|s|seite|pag|pagina)\b[ .]*)?#(?: (?:of|de|von|/) #)?")
 ROMAN = re.compile(r"[ivxlc1]{1,7}")
@@ -42,6 +43,14 @@ FACTS = "kind string, a string, b string, doc long, page int, line int, n long"
 STARTS = 4
 
 
+def _compounds(text: str) -> Iterator[tuple[str, str]]:
+    """Both words at each hyphen inside a line."""
+    for m in INNER.finditer(text):
+        left = LEFT.search(text, max(0, m.start() - 40), m.start())
+        if left:
+            yield left.group(), RIGHT.match(text, m.end()).group()
+
+
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Counts of one task and the edge lines of its pages."""
     words, pairs, compounds, inside = Counter(), Counter(), Counter(), Counter()
@@ -61,7 +70,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             run = tokens(ACROSS.sub("\n", text))
             words.update(run)
             pairs.update(zip(run, run[1:], strict=False))
-            compounds.update(INNER.findall(text.lower()))
+            compounds.update(_compounds(text.lower()))
             lines = text.split("\n")
             full = [i for i, x in enumerate(lines) if x.strip()]
             if not full:
@@ -144,6 +153,12 @@ def furniture(found: DataFrame, titles: DataFrame) -> DataFrame:
 SEEN = "kind string, doc long, page int, line int, word string, mark string, best string, nexts array<struct<line int, word string>>"
 
 
+def _head(lines: list[str], i: int) -> tuple[int, str]:
+    """Number and first word of a line."""
+    m = FIRST.match(lines[i])
+    return i + 1, m.group(1).lower() if m else ""
+
+
 def _scan(channel: Model):
     """The second scan: misread words, broken line ends and the first words of each page."""
 
@@ -153,19 +168,16 @@ def _scan(channel: Model):
             for doc, page, text in zip(pdf["doc"], pdf["page"], pdf["text"], strict=True):
                 lines = text.split("\n")
                 full = [i for i, x in enumerate(lines) if x.strip()]
-                heads = []
-                for i in full:
-                    m = FIRST.match(lines[i])
-                    heads.append((i + 1, m.group(1).lower() if m else ""))
-                out.append(("start", doc, page, 0, "", "", "", heads[:STARTS]))
-                after_break = False
+                out.append(("start", doc, page, 0, "", "", "", [_head(lines, i) for i in full[:STARTS]]))
+                stray, after_break = STRAY.search(text) is not None, False
                 for k, i in enumerate(full):
                     line = lines[i]
-                    broken = BROKEN.search(line)
+                    end = line.rstrip()
+                    broken = BROKEN.search(line, max(0, len(end) - 60)) if end[-1] in MARKS else None
                     words = tokens(line)
                     if broken:
-                        out.append(("break", doc, page, i + 1, broken.group(1).lower(), broken.group(2), "", heads[k + 1 : k + 3]))
-                    if STRAY.search(line):
+                        out.append(("break", doc, page, i + 1, broken.group(1).lower(), broken.group(2), "", [_head(lines, j) for j in full[k + 1 : k + 3]]))
+                    if stray and STRAY.search(line):
                         out.append(("misread", doc, page, i + 1, "", "", "", None))
                     if not channel.plain(words):
                         lo, hi = int(after_break), len(words) - (1 if broken else 0)
