@@ -1,0 +1,167 @@
+"""The dealt operators on frames: brute force, nulls, empties, repeats, ties, long texts, clashing columns."""
+
+import random
+import re
+
+import pytest
+from pyspark.sql import functions as F
+
+from quire.llm import chosenpath, confusables, history, mixing, names, packing, queries, scans, tokens
+
+
+def test_same_look_pairs(spark):
+    rows = [(1, "café ﬁn"), (2, "café fin"), (3, "café fin"), (3, "café fin"), (4, "cafe fin"), (5, None), (6, ""), (7, "​"), (8, " "), (9, "x" * 50_000 + "а"), (10, "x" * 50_000 + "a")]
+    frame = spark.createDataFrame([(*r, 0, b"") for r in rows], "doc_id long, text string, group_id int, shown binary")
+    got = [tuple(r) for r in confusables.same_look_pairs(frame).collect()]
+    assert sorted(got) == [(1, 2), (1, 3), (9, 10)]
+    assert confusables.same_look_pairs(frame.limit(0)).count() == 0
+    text = {r["doc_id"]: r["c"] for r in frame.select("doc_id", confusables.consistent_text("text").alias("c")).collect()}
+    assert text[1] == text[2] == "café fin" and text[5] is None
+
+
+def records(n=260):
+    rnd = random.Random(5)
+    vocabulary = [f"w{i}" for i in range(400)]
+    out = []
+    for i in range(n):
+        if i % 3 and out:
+            words = rnd.choice(out)[2].split()
+            for _ in range(rnd.randrange(0, 8)):
+                words[rnd.randrange(len(words))] = rnd.choice(vocabulary)
+        else:
+            words = [rnd.choice(vocabulary) for _ in range(60)]
+        out.append((i, "Title", " ".join(words)))
+    return out + [(900, None, "Same words here again"), (901, "", "same WORDS here again"), (902, "t", None), (903, "t", " "), (904, None, "two words"), (905, None, "long " + "word " * 9000), (906, None, "long " + "word " * 9001)]
+
+
+def test_near_duplicates_equal_brute_force(spark):
+    rows = records()
+    frame = spark.createDataFrame([(*r, "x", 1) for r in [*rows, rows[0]]], "doc_id long, title string, abstract string, sketch string, rep int")
+    sets = {}
+    for i, title, abstract in rows:
+        if abstract and abstract.strip():
+            w = re.findall(r"[^\W_]+", f"{title or ''} {abstract}".lower())
+            sets[i] = set(zip(w, w[1:], w[2:], strict=False))
+    want = {(a, b) for a in sets for b in sets if a < b and sets[a] and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    got = {tuple(r) for r in chosenpath.near_duplicate_pairs(frame, bucket=8, recall=0.999).collect()}
+    assert got <= want and len(got) >= 0.97 * len(want) and (900, 901) in got and (905, 906) in got
+    groups = {r["id"]: r for r in chosenpath.near_duplicate_groups(frame, bucket=8).collect()}
+    assert groups[900]["class_id"] == groups[901]["class_id"] == 900 and 902 not in groups
+    assert chosenpath.near_duplicate_pairs(frame.limit(0)).count() == 0
+
+
+def test_hot_buckets_are_split(spark):
+    base = [f"w{i}" for i in range(80)]
+    rnd = random.Random(1)
+    rows = []
+    for i in range(150):
+        words = list(base)
+        for _ in range(3):
+            words[rnd.randrange(80)] = f"u{rnd.randrange(10**6)}"
+        rows.append((i, "", " ".join(words)))
+    frame = spark.createDataFrame(rows, "doc_id long, title string, abstract string")
+    plain = chosenpath.near_duplicate_pairs(frame, bucket=10).count()
+    split = chosenpath.near_duplicate_pairs(frame, bucket=10, hot=30).count()
+    assert plain > 0 and abs(plain - split) <= 0.03 * plain
+
+
+def test_name_pairs(spark):
+    lists = [
+        "Anthony J. Kadredugren; V. Grotroheran", "Tony KADREDUGREN", "Kadredugren, A.", "Kadredugren, Anthony, PhD", "Anthoyn Kadredugren; et al.", "Victoria G. Grotroheran and Robert Grotroheran",
+        "Bob Grotroheran", "Ann B. Zuprehora; Ann C. Zuprehora", "A. Zuprehora", "Airway Consort. of Bogrupada; on behalf of the Bogrupada Airway Consortium", "Tokreroma Airway Consortium; Tokreroma Airway Consortium",
+        None, "", " ; ", "et al.",
+    ]
+    frame = spark.createDataFrame([(x, "clash", "clash") for x in lists * 2], "authors string, spelling string, who string")
+    got = {tuple(r) for r in names.name_pairs(frame).collect()}
+    assert all(a < b for a, b in got)
+    for a, b in [("Anthony J. Kadredugren", "Tony KADREDUGREN"), ("Kadredugren, A.", "Kadredugren, Anthony, PhD"), ("Anthony J. Kadredugren", "Anthoyn Kadredugren"), ("V. Grotroheran", "Victoria G. Grotroheran"), ("Bob Grotroheran", "Robert Grotroheran"), ("Airway Consort. of Bogrupada", "on behalf of the Bogrupada Airway Consortium")]:
+        assert (min(a, b), max(a, b)) in got, (a, b)
+    assert not any("Zuprehora" in a for a, _ in got)
+    assert not any("Victoria" in a and "ob" in b for a, b in got)
+    assert names.name_pairs(frame.limit(0)).count() == 0
+
+
+def test_newcomers(spark):
+    long = "Effect of intravenous iron on sleep in children with asthma: the {} cohort"
+    rows = [
+        (1, 0, long.format("Rivormer"), None, None), (2, 0, long.format("Gradonda"), "x", "10.99001/abc.1"), (3, 0, "Erratum", None, "n/a"), (4, 0, None, None, None),
+        (5, 1, long.format("Rivormer").replace("iron", "irron"), None, None), (6, 1, long.format("Stulonte"), None, "DOI: 10.99001/ABC.1."), (7, 1, "Erratum", None, "n/a"), (8, 1, None, None, ""),
+        (9, 2, long.format("Stulonte"), None, None), (10, 2, long.format("Rivormer") + ": part 2", None, None), (11, 2, "Quite another title of sufficient length", None, "10.0000/none"), (12, 2, "", None, "10.0000/none"),
+        (13, 2, long.format("Gradonda"), None, "10.99001/other.7"),
+    ]
+    docs = spark.createDataFrame([(*r, "clash") for r in [*rows, rows[4]]], "doc_id long, import_batch int, title string, normalized_title string, doi string, key string")
+    empty = "e3b0c44298fc1c149afbf4c8996fb92427ae41e4649b934ca495991b7852b855"
+    files = spark.createDataFrame([(4, "A" * 63 + "b"), (8, "sha256:" + "a" * 63 + "B"), (3, empty), (7, empty.upper()), (11, None), (12, "")], "document_id long, sha256 string")
+    got = {(r["first_id"], r["doc_id"]) for r in history.newcomers(docs, files).collect()}
+    assert got == {(1, 5), (2, 6), (2, 9), (4, 8)}
+    assert history.newcomers(docs.limit(0), files.limit(0)).count() == 0
+
+
+def test_packing_frames(spark):
+    items = spark.createDataFrame([(1, 700), (2, 300), (3, 0), (4, 256), (4, 256), (5, 2500)], "id long, n_tokens long")
+    windows = spark.createDataFrame([("small", 256), ("large", 1024), (None, 5)], "window_name string, capacity_tokens int")
+    rows = packing.containers(items, windows, lot=3).collect()
+    for name, capacity in (("small", 256), ("large", 1024)):
+        own = [r for r in rows if r["window_name"] == name]
+        assert sum(r["n_tokens"] for r in own) == 700 + 300 + 256 * 2 + 2500
+        assert {r["id"] for r in own} == {1, 2, 3, 4, 5} and all(r["filled_tokens"] <= r["container_tokens"] <= capacity for r in own)
+        assert all(r["piece_no"] == 1 for r in own if r["id"] in (3, 4))
+    report = {r["window_name"]: r for r in packing.unused_space(packing.containers(items, windows)).collect()}
+    assert report["large"]["n_split"] == 1 and report["large"]["unused_tokens"] == report["large"]["container_tokens"] - report["large"]["tokens"]
+    assert packing.containers(items.limit(0), windows).count() == 0
+
+
+def test_mixing(spark):
+    rnd = random.Random(8)
+    sources = ["big"] * 3000 + ["BIG "] * 30 + ["small-one"] * 120 + [None] * 5 + ["other"] * 50
+    items = spark.createDataFrame([(i, rnd.randrange(1, 800), s) for i, s in enumerate(sources)] + [(9999, 0, "big")], "id long, n_tokens long, source string")
+    targets = spark.createDataFrame([("m", "big", 0.5, 2), ("m", "small_one", 0.5, 3), ("lost", "nowhere", 1.0, 1)], "mix_name string, source string, target_share double, max_repeats int")
+    drawn = mixing.mixture(items, targets)
+    rows = drawn.collect()
+    assert {r["source"] for r in rows} == {"big", "small_one"} and max(r["copies"] for r in rows if r["source"] == "small_one") == 3
+    assert all(r["copies"] <= 2 for r in rows if r["source"] == "big") and 9999 not in {r["id"] for r in rows}
+    report = {(r["mix_name"], r["source"]): r for r in mixing.mixture_report(drawn, targets).collect()}
+    assert report["m", "big"]["actual_share"] == pytest.approx(0.5, abs=0.03) and report["lost", "nowhere"]["actual_share"] == 0
+    assert sorted(map(tuple, mixing.mixture(items, targets).collect())) == sorted(map(tuple, rows))
+    assert mixing.mixture(items.limit(0), targets).count() == 0
+
+
+def test_token_counts(spark):
+    frame = spark.createDataFrame([(1, "Hello world, hello."), (2, None), (3, ""), (None, "x"), (4, "long " * 20_000)], "doc_id long, text string")
+    got = {r["id"]: r["n_tokens"] for r in tokens.token_counts(frame).collect()}
+    assert got[2] == got[3] == 0 and got[1] == len(tokens.encoder(tokens.RANKS).encode_ordinary("Hello world, hello.")) and got[4] > 19_000 and len(got) == 4
+
+
+def pages():
+    body = [
+        "The patients were treated in intensive care units and followed for twelve", "months. Serious adverse events occurred in many patients, most often severe", "bleeding. Quality of life improved in both groups after the treat-", "ment, and the well-", "known risks of therapy were reported by the participants.",
+    ]
+    out = []
+    openings = [f"{a} {b} {c}" for a in ("Serious", "Severe", "Known", "Many") for b in ("adverse", "twelve", "months") for c in ("events", "groups", "units", "risks", "patients", "therapy", "life", "care", "both", "most")]
+    for doc in range(1, 31):
+        for page in range(1, 5):
+            out.append((doc, page, "\n".join([f"Invented Journal | {1990 + doc} | {page}", "", f"{openings[doc * 4 + page - 5]}. {body[0]}", *body[1:], "A well-known and well-known result with treatment of patients.", "", f"- {page} -"])))
+    noisy = out[0][2].replace("patients were", "patlents vvere").replace("Quality", "Qua1ity ^")
+    return [(100, 1, noisy), (100, 2, out[1][2].replace("treat-\nment", "treat­\nment")), *out, out[0], (200, 1, None), (201, 1, ""), (202, None, "A lone line")]
+
+
+def test_defects_and_paragraphs(spark):
+    frame = spark.createDataFrame([(*r, "clash", 0) for r in pages()], "document_id long, page_number int, text string, shape string, doc int")
+    docs = spark.createDataFrame([(100, "Some title", "Invented Journal"), (1, None, None)], "doc_id long, title string, journal string")
+    found = {(r["doc"], r["page"], r["line"], r["defect"]) for r in scans.defects(frame, docs).collect()}
+    assert {x for x in found if x[0] == 100 and x[1] == 1} == {(100, 1, 1, "furniture"), (100, 1, 10, "furniture"), (100, 1, 3, "misread"), (100, 1, 5, "misread"), (100, 1, 5, "hyphen")}
+    assert {x[2:] for x in found if x[:2] == (100, 2)} == {(1, "furniture"), (10, "furniture"), (5, "hyphen")}
+    assert not any(x[0] in (200, 201) for x in found)
+    text = {(r["doc"], r["page"]): r["text"] for r in scans.paragraphs(frame, docs).collect()}
+    assert "patients were treated" in text[100, 1] and "after the treatment, and the well- known" in text[100, 1].replace("well-known", "well- known") and "Journal" not in text[100, 1]
+    assert scans.defects(frame.limit(0), docs).count() == 0
+
+
+@pytest.mark.parametrize("name", sorted(queries.queries()))
+def test_registered_queries_give_rows(spark, data, name):
+    frame = queries.queries()[name](spark, data)
+    rows = frame.collect()
+    assert rows
+    if name.endswith("_found"):
+        assert len(set(rows)) == len(rows)
+        assert frame.select(*[F.count_if(F.col(c).isNull()).alias(c) for c in frame.columns]).first() == tuple([0] * len(frame.columns))
