@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections.abc import Callable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -217,14 +218,20 @@ def strip(col: Column | str) -> Column:
 
 def snippet(query: str, col: Column | str, size: int = 480, lead: int = 120) -> Column:
     """The whole text if short, else ``size`` characters from a word's beginning shortly before the first term."""
-    body = strip(col)
-    low = F.lower(body)
-    places = [F.nullif(F.instr(low, t), F.lit(0)) for t in terms_of(query)]
-    hit = F.least(*places) if len(places) > 1 else (places[0] if places else F.lit(None).cast("int"))
-    start = F.greatest(F.coalesce(hit, F.lit(1)) - 1 - lead, F.lit(0))
-    rest = F.substr(body, start + 1)
-    skip = F.when(start > 0, F.instr(rest, " ")).otherwise(0)
-    return F.when(F.length(body) <= size, body).otherwise(strip(F.substr(body, start + skip + 1, F.lit(size))))
+
+    def around(body: Column, low: Column) -> Column:
+        places = [F.nullif(F.instr(low, t), F.lit(0)) for t in terms_of(query)]
+        hit = F.least(*places) if len(places) > 1 else (places[0] if places else F.lit(None).cast("int"))
+        start = F.greatest(F.coalesce(hit, F.lit(1)) - 1 - lead, F.lit(0))
+        skip = F.when(start > 0, F.instr(F.substr(body, start + 1), " ")).otherwise(0)
+        return F.when(F.length(body) <= size, body).otherwise(strip(F.substr(body, start + skip + 1, F.lit(size))))
+
+    return let(strip(col), lambda body: let(F.lower(body), lambda low: around(body, low)))
+
+
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` worked out once, however often ``then`` uses it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
 
 def truncate(col: Column | str, limit: int = 220) -> Column:

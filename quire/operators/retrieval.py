@@ -17,7 +17,7 @@ K1, B = 1.2, 0.75
 def _frequency(tokens: Column, term: str) -> Column:
     """Tokens equal to the term, or beginning with it if it has four or more characters."""
     test = (lambda x: x.startswith(term)) if len(term) >= 4 else (lambda x: x == term)
-    return F.size(F.filter(tokens, test))
+    return F.when(tokens.isNotNull(), F.size(F.filter(tokens, test)))
 
 
 def bm25(passages: DataFrame, query: str, text_col: str, terms: list[str] | None = None) -> DataFrame:
@@ -28,20 +28,24 @@ def bm25(passages: DataFrame, query: str, text_col: str, terms: list[str] | None
     terms = T.terms_of(query) if terms is None else terms
     if not terms:
         return passages.withColumn("score", F.lit(0.0)).limit(0)
-    tokens = T.all_terms(text_col)
-    counts = [F.expr(f"f{i}") for i in range(len(terms))]
-    counted = passages.withColumn("tokens_", tokens).withColumn("size_", F.size("tokens_"))
+    # A passage that does not hold a term anywhere is counted by its length only and never cut into tokens.
+    low = F.lower(T.text_of(text_col))
+    holds = F.lit(False)
+    for t in terms:
+        holds = holds | low.contains(t)
+    counts = [F.col(f"f{i}") for i in range(len(terms))]
+    counted = passages.withColumn("size_", F.regexp_count(low, F.lit(T.TERM.replace("A-Z", "")))).withColumn("tokens_", F.when(holds, T.all_terms(text_col)))
     for i, t in enumerate(terms):
-        counted = counted.withColumn(f"f{i}", _frequency(F.col("tokens_"), t))
-    counted = counted.drop("tokens_")
+        counted = counted.withColumn(f"f{i}", F.coalesce(_frequency(F.col("tokens_"), t), F.lit(0)))
     stats = counted.agg(F.count("*").alias("total_"), F.avg("size_").alias("mean_"), *[F.sum((c > 0).cast("long")).alias(f"n{i}") for i, c in enumerate(counts)])
-    found = counted.where(" or ".join(f"f{i} > 0" for i in range(len(terms)))).join(F.broadcast(stats))
+    found = counted.where(holds).drop("tokens_").join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for i in range(len(terms)):
         weight = F.greatest(F.ln((F.col("total_") - F.col(f"n{i}") + 0.5) / (F.col(f"n{i}") + 0.5)), F.lit(1e-6))
         damped = F.col(f"f{i}") * (K1 + 1) / (F.col(f"f{i}") + K1 * (1 - B + B * F.col("size_") / F.col("mean_")))
         score = score + weight * damped
-    return found.withColumn("score", score).drop("total_", "mean_", "size_", *[f"n{i}" for i in range(len(terms))], *[f"f{i}" for i in range(len(terms))])
+    # Every weight is above 0, so the score tells whether a token matched.
+    return found.withColumn("score", score).where("score > 0").drop("total_", "mean_", "size_", *[f"n{i}" for i in range(len(terms))], *[f"f{i}" for i in range(len(terms))])
 
 
 def postings(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:

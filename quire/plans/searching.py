@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import retrieval, vectors
-from quire.session import read
+from quire.session import read, spread
 
 QUESTION = "hospital readmission after cognitive behavioural therapy"
 TOPIC = "intravenous iron epilepsy"
@@ -19,7 +19,7 @@ AUTHOR = "Robert"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "document_pages").select("document_id", "page_number", "text")
+    return spread(read(spark, sf_dir, "document_pages").select("document_id", "page_number", "text"))
 
 
 def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,7 +87,7 @@ def passage_kinds(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def snippets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The part of each text around the question's first hit."""
-    return read(spark, sf_dir, "documents").where("text is not null").select("doc_id", T.snippet(QUESTION, "text").alias("snippet"))
+    return spread(read(spark, sf_dir, "documents").where("text is not null").select("doc_id", "text")).select("doc_id", T.snippet(QUESTION, "text").alias("snippet"))
 
 
 def snippet_provenance(spark: SparkSession, sf_dir: str) -> DataFrame:

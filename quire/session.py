@@ -55,6 +55,11 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def small(df: DataFrame, limit_rows: int) -> bool:
-    """True if ``df`` has at most ``limit_rows`` rows; reads no more than one row beyond."""
-    return len(df.limit(limit_rows + 1).take(limit_rows + 1)) <= limit_rows
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over at least as many partitions as there are cores.
+
+    For scans whose work a row is much more than its bytes. A table of many files has partitions enough and
+    is left alone; only what a few row groups would put into a few tasks is dealt out.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want) if df.rdd.getNumPartitions() < want else df
