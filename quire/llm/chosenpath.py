@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
+from quire.session import cut, spread
 
 WORDS = re.compile(r"[^\W_]+")
 POSITIONS = 32
@@ -157,7 +157,7 @@ def records(df: DataFrame, id_col: str, text_cols: list[str], need_col: str | No
     """(id, text): the columns joined by a space; rows whose ``need_col`` is blank are left out."""
     text = F.concat_ws(" ", *[F.coalesce(F.col(c), F.lit("")) for c in text_cols])
     rows = df.where(F.col(need_col).rlike(r"(?U)\S")) if need_col else df
-    return rows.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null")
+    return spread(rows.select(F.col(id_col).cast("long").alias("id"), text.alias("text")).where("id is not null"))
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_cols: list[str] | None = None, need_col: str | None = "abstract", size: int = 3, threshold: float = 0.6, recall: float = 0.99, bucket: int = 40, hot: int = 20000) -> tuple[DataFrame, DataFrame]:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-from quire.session import cut
+from quire.session import cut, spread
 
 # Foreign letters and the Latin letters they look like, position by position.
 CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝ"
@@ -107,7 +107,7 @@ def text_forms(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     Texts themselves never leave the scan's task, so the shuffles behind it carry 40 bytes a row.
     """
     kind = df.schema[id_col].dataType.simpleString()
-    rows = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    rows = spread(df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")))
     return rows.mapInArrow(_digests, f"id {kind}, shown binary, stored binary")
 
 

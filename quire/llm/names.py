@@ -23,7 +23,6 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import permutations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -123,19 +122,40 @@ def alike(a: str, b: str) -> float | None:
 
 
 def assignment(a: list[str], b: list[str]) -> float | None:
-    """Least total cost of giving each token of the shorter name a token of the longer; None if impossible."""
-    few, many = sorted((a[:6], b[:6]), key=len)
-    best = None
-    for chosen in permutations(range(len(many)), len(few)):
-        cost = 0.0
-        for x, k in zip(few, chosen, strict=True):
-            c = alike(x, many[k])
-            if c is None:
-                break
-            cost += c
-        else:
-            best = cost if best is None else min(best, cost)
-    return best
+    """Least total cost of giving each token of the shorter name a token of the longer; None if impossible.
+
+    Shortest augmenting paths with potentials, so names of any length are aligned whole.
+    """
+    few, many = sorted((a, b), key=len)
+    never = 1e6
+    cost = [[never if (c := alike(x, y)) is None else c for y in many] for x in few]
+    n, m = len(few), len(many)
+    u, v, taken = [0.0] * (n + 1), [0.0] * (m + 1), [0] * (m + 1)
+    for i in range(1, n + 1):
+        taken[0], column = i, 0
+        least, back, used = [float("inf")] * (m + 1), [0] * (m + 1), [False] * (m + 1)
+        while taken[column]:
+            used[column] = True
+            row, delta, following = taken[column], float("inf"), 0
+            for j in range(1, m + 1):
+                if not used[j]:
+                    slack = cost[row - 1][j - 1] - u[row] - v[j]
+                    if slack < least[j]:
+                        least[j], back[j] = slack, column
+                    if least[j] < delta:
+                        delta, following = least[j], j
+            for j in range(m + 1):
+                if used[j]:
+                    u[taken[j]] += delta
+                    v[j] -= delta
+                else:
+                    least[j] -= delta
+            column = following
+        while column:
+            taken[column] = taken[back[column]]
+            column = back[column]
+    total = sum(cost[taken[j] - 1][j - 1] for j in range(1, m + 1) if taken[j])
+    return None if total >= never else total
 
 
 def _parsed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.channel import LEAST, SHARE, STRAY, Model, fold, numeric, shape, tokens
-from quire.session import cut
+from quire.session import cut, spread
 
 MARKS = "-‐¬\xad"
 BROKEN = re.compile(rf"([^\W_]+)([{MARKS}])\s*$")
@@ -270,7 +270,7 @@ def defects(pages: DataFrame, documents: DataFrame) -> DataFrame:
 
 
 def _rows(pages: DataFrame) -> DataFrame:
-    return pages.where("text is not null and document_id is not null").select(F.col("document_id").cast("long").alias("doc"), F.coalesce(F.col("page_number"), F.lit(0)).cast("int").alias("page"), "text")
+    return spread(pages.where("text is not null and document_id is not null").select(F.col("document_id").cast("long").alias("doc"), F.coalesce(F.col("page_number"), F.lit(0)).cast("int").alias("page"), "text"))
 
 
 def _names(seen: DataFrame, documents: DataFrame) -> DataFrame:

@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.session import cut
+from quire.session import cut, spread
 
 RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 # Fixed value: the published split pattern of that byte-level vocabulary.
@@ -31,7 +31,7 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_tokens, *keep), written once: whole texts are tokenised in the scan's tasks and only their
     sizes go on. A null or empty text has 0 tokens; a null id is left out; a repeated id keeps each row."""
     kinds = dict(df.dtypes)
-    rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text_"), *keep)
+    rows = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text_"), *keep))
     schema = ", ".join(["id long", "n_tokens long", *[f"`{c}` {kinds[c]}" for c in keep]])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
