@@ -153,9 +153,30 @@ def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where("deleted_at is null").select("doc_id", *[blank(c) for c in ("source", "title", "authors", "journal", "publication_year", "doi", "pmid", "source_type", "reading_status", "importance")])
 
 
+def hash_embedding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words and word pairs of each title hashed to 512 places, counted and scaled to length one (sparse)."""
+    words = F.filter(T.all_terms("title"), lambda w: ~F.array_contains(F.array(*[F.lit(x) for x in T.STOPWORDS]), w))
+    titles = _docs(spark, sf_dir).select("doc_id", words.alias("w"))
+    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat(a, F.lit(" "), b))
+    grams = titles.select("doc_id", F.explode(F.concat("w", pairs)).alias("gram"))
+    place = F.conv(F.substring(F.md5("gram"), 1, 4), 16, 10).cast("int") % 512
+    counts = grams.groupBy("doc_id", place.alias("place")).agg(F.count("*").alias("n"))
+    norm = F.sqrt(F.sum(F.col("n") * F.col("n")).over(Window.partitionBy("doc_id")))
+    return counts.select("doc_id", "place", F.round(F.col("n") / norm, 6).alias("weight"))
+
+
+def size_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Median size and spread of files per kind and role, and the default of each role (join on a constant)."""
+    files = read(spark, sf_dir, "document_files")
+    roles = files.select("file_role").distinct()
+    kinds = files.groupBy("source_kind", "file_role").agg(F.median("size_bytes").alias("median_bytes"), F.round(F.stddev_samp("size_bytes"), 3).alias("spread"), F.count("*").alias("n"))
+    default = files.groupBy("source_kind").agg(F.max("size_bytes").alias("largest")).where("source_kind = 'legacy'").select("largest")
+    return kinds.join(roles, "file_role", "left_semi").join(F.broadcast(default))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    own = (exact_duplicates, identifier_matches, title_duplicates, review_states, metadata_conflicts, version_labels, asset_states, fixed_chunks, sentence_chunks, page_margins, page_blocks, block_order, inferred_metadata, year_votes, clean_titles, normalised_titles, bibtex_records, ris_records, markdown_tables, csv_rows)
+    own = (exact_duplicates, identifier_matches, title_duplicates, review_states, metadata_conflicts, version_labels, asset_states, fixed_chunks, sentence_chunks, page_margins, page_blocks, block_order, inferred_metadata, year_votes, clean_titles, normalised_titles, bibtex_records, ris_records, markdown_tables, csv_rows, hash_embedding, size_medians)
     return {f.__name__: f for f in own}
 
 
@@ -223,5 +244,10 @@ SELECT doc_id, array_to_string(list_concat(['TY  - JOUR'], list_concat(list_tran
   CASE WHEN coalesce(journal, '') <> '' THEN 'JO  - ' || {flat.format('journal')} END, CASE WHEN publication_year IS NOT NULL THEN 'PY  - ' || publication_year END, CASE WHEN coalesce(doi, '') <> '' THEN 'DO  - ' || {flat.format('doi')} END], lambda x: x IS NOT NULL), ['ER  - ']))), chr(10)) AS record FROM a""",
         "markdown_tables": f"""SELECT journal, '| year | title | type |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || {cell.format('publication_year')} || ' | ' || {cell.format('title')} || ' | ' || {cell.format('source_type')} || ' |', chr(10) ORDER BY coalesce(publication_year, 0) DESC, doc_id) AS text
 FROM documents WHERE deleted_at IS NULL AND journal IS NOT NULL GROUP BY journal""",
+        "hash_embedding": f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9][a-z0-9''\\-]{{1,}}'), lambda x: NOT list_contains({[*T.STOPWORDS]}, x)) AS w FROM documents),
+  g AS (SELECT doc_id, unnest(w) AS gram FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) FROM t),
+  c AS (SELECT doc_id, CAST(('0x' || substr(md5(gram), 1, 4)) AS INT) % 512 AS place, count(*) AS n FROM g GROUP BY 1, 2)
+SELECT doc_id, place, round(n / sqrt(sum(n * n) OVER (PARTITION BY doc_id)), 6) AS weight FROM c""",
+        "size_medians": "SELECT source_kind, file_role, median(size_bytes) AS median_bytes, round(stddev_samp(size_bytes), 3) AS spread, count(*) AS n, (SELECT max(size_bytes) FROM document_files WHERE source_kind = 'legacy') AS largest FROM document_files GROUP BY 1, 2",
         "csv_rows": "SELECT doc_id, " + ", ".join(f"coalesce(CAST({c} AS VARCHAR), '') AS {c}" for c in ("source", "title", "authors", "journal", "publication_year", "doi", "pmid", "source_type", "reading_status", "importance")) + " FROM documents WHERE deleted_at IS NULL",
     }

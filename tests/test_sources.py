@@ -29,3 +29,13 @@ def test_query_set_and_snapshot(spark, tmp_path):
     tables = {"one": spark.range(5), "none": spark.range(0)}
     files.snapshot(tables, str(tmp_path / "s"))
     assert all(r["ok"] for r in files.verify_snapshot(spark, str(tmp_path / "s")).collect())
+
+
+def test_windowed_stream_closes_windows(spark, tmp_path):
+    rows = [(i, f"2024-01-01 {i // 60:02}:{i % 60:02}:00") for i in range(0, 600, 10)]
+    frame = spark.createDataFrame(rows, "event_id long, at string").selectExpr("event_id", "cast(at as timestamp) as ts")
+    for k in range(3):
+        frame.where(f"event_id between {200 * k} and {200 * k + 199}").coalesce(1).write.parquet(str(tmp_path / f"in/{k}"))
+    stream = events.windowed(events.source(spark, f"{tmp_path}/in/*", 1), "ts", "1 hour", "30 minutes")
+    got = {r["window_start"].hour: r["n"] for r in events.run(stream, str(tmp_path / "run")).collect()}
+    assert got and all(n == 6 for n in got.values()) and set(got) <= set(range(10)) and 8 in got
