@@ -57,6 +57,22 @@ NICKNAMES = {
 }
 FORMAL = {short: formal for formal, shorts in NICKNAMES.items() for short in shorts}
 
+SHORT_FORMS: dict[str, set[str]] = {}
+for _name in {*FORMAL, *NICKNAMES}:
+    for _form in deletions(_name):
+        SHORT_FORMS.setdefault(_form, set()).add(_name)
+
+
+def formal(given: str, mentions: int = 0) -> str:
+    """The full form of a given name; a name that hardly occurs may also be a slip of a known short one."""
+    if given in FORMAL or given in NICKNAMES:
+        return FORMAL.get(given, given)
+    if mentions > 2 or len(given) < 3:
+        return given
+    near = {n for form in deletions(given) for n in SHORT_FORMS.get(form, ()) if distance(given, n, 1) <= 1 and n[0] == given[0]}
+    full = {FORMAL.get(n, n) for n in near}
+    return full.pop() if len(full) == 1 else given
+
 
 def fold(text: str) -> str:
     """Lower case without accents or look-alike letters."""
@@ -175,7 +191,7 @@ def token_map(tokens: DataFrame) -> DataFrame:
     """(token, stands_for) for tokens that are taken for a slip of a more frequent one.
 
     ``tokens`` is (token, spellings, n). A token gives way to its best neighbour within one edit if it stands
-    in at most two spellings, or in a third of the neighbour's.
+    in at most two spellings, or in a third of the neighbour's; a well-known given name never does.
     """
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -191,7 +207,8 @@ def token_map(tokens: DataFrame) -> DataFrame:
     other = posted.select("form", F.col("token").alias("other"), F.col("spellings").alias("other_spellings"), F.col("n").alias("other_n"))
     better = F.struct("other_spellings", "other_n", "other") > F.struct("spellings", "n", "token")
     gives_way = (F.col("spellings") <= 2) | (F.col("other_spellings") >= 3 * F.col("spellings"))
-    met = posted.join(other, "form").where((F.col("token") != F.col("other")) & better & gives_way).drop("form").distinct()
+    known = F.col("token").isin(*sorted({*FORMAL, *NICKNAMES}))  # well-known given names are no slips
+    met = posted.join(other, "form").where((F.col("token") != F.col("other")) & better & gives_way & ~known).drop("form").distinct()
     chosen = met.mapInPandas(near, met.schema).groupBy("token").agg(F.max_by("other", F.struct("other_spellings", "other_n", "other")).alias("stands_for"))
     chosen = cut(chosen)
     onward = chosen.select(F.col("token").alias("stands_for"), F.col("stands_for").alias("further"))
@@ -210,7 +227,8 @@ def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             family = r.family
             if family < 0 and len(tokens) >= 2:
-                odds = [(w["given"] + 0.5) / (w["named"] + 0.5) for w in words]
+                known = [2 if w["token"] in NICKNAMES or formal(w["token"], w["given"]) != w["token"] else 0 for w in words]
+                odds = [(w["given"] + k + 0.5) / (w["named"] + 0.5) for w, k in zip(words, known, strict=True)]
                 family = len(tokens) - 1 if odds[0] >= odds[-1] else 0
             initials = "".join(r.initials)
             if not tokens:
@@ -218,7 +236,9 @@ def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             family = max(family, 0)
             rest = [t for i, t in enumerate(tokens) if i != family]
-            given = FORMAL.get(rest[0], rest[0]) if rest else None
+            if rest:
+                rest[0] = formal(rest[0], next(w["given"] for i, w in enumerate(words) if i != family))
+            given = rest[0] if rest else None
             letters = (given[0] if given else "") + "".join(t[0] for t in rest[1:]) + initials
             out.append((r.spelling, r.n, r.kind, tokens[family], given, letters, " ".join([tokens[family], *rest, *initials])))
         yield pd.DataFrame(out, columns=["spelling", "n", "kind", "family", "given", "letters", "tokens"])

@@ -84,6 +84,9 @@ def test_names_are_aligned():
     assert names.assignment(["smith", "j"], ["smith", "john", "p"]) == pytest.approx(0.2)
     assert names.assignment(["smith", "bob"], ["smith", "robert"]) == pytest.approx(0.1)
     assert names.assignment(["smith", "maria"], ["smith", "peter"]) is None
+    assert names.formal("gaabe") == "gabriel" and names.formal("nikc") == "nicholas" and names.formal("bob") == "robert" and names.formal("ingrid", 40) == "ingrid"
+    long = [f"name{i}" for i in range(14)]
+    assert names.assignment(long, long[::-1]) == 0.0
     assert names.parse("")[1] == [] and names.parse("et al.")[0] == "person"
     assert names.parse("On behalf of the Xyz Study Grp. (XSG)")[0] == "body"
 
