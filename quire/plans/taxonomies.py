@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quire.operators import taxonomy as X
-from quire.plans.hierarchies import CLOSURE, p4_found, p4_paths
+from quire.plans.hierarchies import CLOSURE, PATHS, p4_found, p4_paths
 from quire.session import cut, read
 
 
@@ -134,6 +134,7 @@ UNION ALL SELECT 'nodes_in_no_pack', count(*) FROM taxonomy_nodes t WHERE NOT EX
         "loops": CLOSURE + "SELECT pack_id, node_id FROM r WHERE ancestor_node_id = node_id",
         "unreachable_nodes": CLOSURE + "SELECT pack_id, node_id FROM n EXCEPT SELECT r.pack_id, r.node_id FROM r JOIN specialty_packs p ON p.pack_id = r.pack_id AND p.selection_node_id = r.ancestor_node_id EXCEPT SELECT pack_id, selection_node_id FROM specialty_packs",
         "display_places": "SELECT 'display.' || substr(sha256(pack_id || '|' || coalesce(parent, '') || '|' || node_id), 1, 24) AS display_id, pack_id, parent, node_id, sort_order FROM (SELECT pack_id, nullif(display_parent_node_id, '') AS parent, node_id, min(sort_order) AS sort_order FROM memberships WHERE pack_id <> '' AND node_id <> '' GROUP BY 1, 2, 3)",
+        "visible_nodes": CLOSURE + PATHS.replace("\nSELECT pack_id, node_id, CASE", ", z AS (SELECT pack_id, node_id, CASE") + ") SELECT pack_id, detail, count(*) AS n_visible FROM z, (VALUES ('broad', 2), ('balanced', 4), ('detailed', 8)) v(detail, most) WHERE depth <= most GROUP BY 1, 2",
         "catalog_install": """WITH o AS (SELECT node_id, (node_type, canonical_name, node_status) AS was FROM taxonomy_nodes WHERE catalog_version = 'v0' OR node_type = 'phenotype'),
   w AS (SELECT node_id, (node_type, canonical_name, CASE WHEN node_status = 'active' THEN 'active' ELSE 'retired' END) AS will FROM taxonomy_nodes WHERE catalog_version <> 'v0')
 SELECT CASE WHEN o.node_id IS NULL THEN 'insert' WHEN w.node_id IS NULL THEN 'retire' WHEN was = will THEN 'keep' ELSE 'update' END AS action, count(*) AS n, min(coalesce(o.node_id, w.node_id)) AS first_node
