@@ -32,6 +32,7 @@ from quire.session import cut, spread
 
 WORDS = re.compile(r"[^\W_]+")
 POSITIONS = 32
+WIDTH = 2 * POSITIONS  # a row carries its run's positions, and the next run's for comparing only
 PRIME = np.uint64((1 << 61) - 1)
 
 
@@ -171,7 +172,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_cols: list[str]
     base = records(df, id_col, text_cols or ["title", "abstract"], need_col)
     n = df.count()
     depth = depth_for(n, bucket)
-    runs = runs_needed(depth, threshold, recall)
+    runs = max(2, runs_needed(depth, threshold, recall))
 
     def sketch(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -192,7 +193,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_cols: list[str]
             whole = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), runs, POSITIONS)
             ids = pdf["rep"].to_numpy()
             for run in range(runs):
-                own = np.ascontiguousarray(whole[:, run])
+                own = np.concatenate([whole[:, run], whole[:, (run + 1) % runs]], axis=1)
                 rows, path = children(mix(np.full(len(pdf), run + 1, np.uint64)), own, threshold)
                 yield pd.DataFrame({"path": path.view(np.int64), "id": ids[rows], "sketch": [own[r].tobytes() for r in rows]})
 
@@ -200,7 +201,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_cols: list[str]
     nodes = classes.select("rep", "sketch").mapInPandas(first_level, node)
     if n > hot:
         nodes = _split_hot(cut(nodes), node, threshold, hot, depth - 1)
-    least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / POSITIONS)
+    least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / WIDTH)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         held: pd.DataFrame | None = None
@@ -216,7 +217,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_cols: list[str]
             yield pairs_of(held)
 
     def pairs_of(pdf: pd.DataFrame) -> pd.DataFrame:
-        sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), POSITIONS)
+        sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), WIDTH)
         found = split_and_compare(pdf["id"].to_numpy(), sketches, pdf["path"].to_numpy().view(np.uint64), threshold, bucket, depth - 1, least)
         return pd.DataFrame({"rep_a": found[:, 0], "rep_b": found[:, 1]})
 
@@ -237,7 +238,7 @@ def _split_hot(nodes: DataFrame, schema: str, threshold: float, hot: int, levels
         for pdf in batches:
             if not len(pdf):
                 continue
-            sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), POSITIONS)
+            sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), WIDTH)
             rows, path = children(pdf["path"].to_numpy().view(np.uint64), sketches, threshold)
             yield pd.DataFrame({"path": path.view(np.int64), "id": pdf["id"].to_numpy()[rows], "sketch": pdf["sketch"].to_numpy()[rows]})
 
