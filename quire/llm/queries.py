@@ -131,4 +131,10 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     """Name -> SQL; the other operators are tested against brute force in tests/llm."""
-    return {}
+    return {
+        "p5_found": """WITH w AS (SELECT doc_id, regexp_extract_all(lower(coalesce(title, '') || ' ' || abstract), '[\\p{L}\\p{N}]+') AS l FROM documents WHERE trim(abstract) <> ''),
+  s AS (SELECT DISTINCT doc_id, unnest(list_transform(range(1, greatest(len(l) - 1, 1)), lambda i: l[i] || ' ' || l[i + 1] || ' ' || l[i + 2])) AS g FROM w),
+  n AS (SELECT doc_id, count(*) AS c FROM s GROUP BY 1),
+  p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2)
+SELECT a AS doc_id_a, b AS doc_id_b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE k >= 0.6 * (x.c + y.c - k)""",
+    }
