@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import re
+from functools import lru_cache
 
 SHARE = 2e-6
 LEAST = 3
@@ -36,6 +37,12 @@ def _fold_table() -> dict[int, str]:
 FOLD = _fold_table()
 
 
+BY_FIRST: dict[str, list[tuple[str, str]]] = {}
+for _op in CONFUSIONS:
+    BY_FIRST.setdefault(_op[1][0], []).append(_op)
+
+
+@lru_cache(maxsize=100_000)
 def fold(word: str) -> str:
     """One form for all readings of a word that the confusions lead to (coarse)."""
     for seen, kept in FOLD_MANY:
@@ -43,13 +50,15 @@ def fold(word: str) -> str:
     return word.translate(FOLD)
 
 
+@lru_cache(maxsize=100_000)
+def _part(word: str) -> str:
+    digits = sum(c.isdigit() for c in word)
+    return "#" if digits and digits * 2 >= len(word) else fold(word)
+
+
 def shape(line: str) -> str:
     """One form for a line of page matter: numbers as #, words folded, signs as blanks."""
-    out = []
-    for t in WORD.findall(STRAY.sub(" ", line).lower()):
-        digits = sum(c.isdigit() for c in t)
-        out.append("#" if digits and digits * 2 >= len(t) else fold(t))
-    return " ".join(out)
+    return " ".join(map(_part, WORD.findall(STRAY.sub(" ", line).lower())))
 
 
 def tokens(line: str) -> list[str]:
@@ -59,17 +68,16 @@ def tokens(line: str) -> list[str]:
 
 def numeric(word: str) -> bool:
     """A word of digits and letters that look like digits, with a digit among them."""
-    return word != "#" and any(c.isdigit() for c in word) and NUMBER_LIKE.fullmatch(word) is not None
+    return NUMBER_LIKE.fullmatch(word) is not None and any(c in "0123456789" for c in word)
 
 
 def reversals(word: str, start: int = 0) -> list[tuple[str, int, tuple[str, str]]]:
     """(word before one confusion, its place, the confusion) for every confusion that may have led here."""
     out = []
-    for true, seen in CONFUSIONS:
-        at = word.find(seen, start)
-        while at >= 0:
-            out.append((word[:at] + true + word[at + len(seen) :], at, (true, seen)))
-            at = word.find(seen, at + 1)
+    for at in range(start, len(word)):
+        for op in BY_FIRST.get(word[at], ()):
+            if word.startswith(op[1], at):
+                out.append((word[:at] + op[0] + word[at + len(op[1]) :], at, op))
     return out
 
 

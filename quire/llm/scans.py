@@ -32,7 +32,7 @@ from quire.session import cut, spread
 
 MARKS = "-‐¬\xad"
 BROKEN = re.compile(rf"([^\W_]+)([{MARKS}])\s*$")
-ACROSS = re.compile(rf"[^\W_]+[{MARKS}][ \t]*\n\s*[^\W_]+")
+ACROSS = re.compile(rf"[{MARKS}][ \t]*\n\s*(?=[^\W_])")
 INNER = re.compile(r"[-‐](?=[^\W_])")
 LEFT, RIGHT = re.compile(r"[^\W_]+$"), re.compile(r"[^\W_]+")
 FIRST = re.compile(r"^\W*?([^\W_]+)")
@@ -43,6 +43,17 @@ FACTS = "kind string, a string, b string, doc long, page int, line int, n long"
 STARTS = 4
 
 
+def _without_broken(text: str) -> str:
+    """The text without words that go on in the next line, so their parts are not counted as words."""
+    kept, done = [], 0
+    for m in ACROSS.finditer(text):
+        left = LEFT.search(text, max(done, m.start() - 200), m.start())
+        if left:
+            kept.append(text[done : left.start()])
+            done = RIGHT.match(text, m.end()).end()
+    return "\n".join([*kept, text[done:]])
+
+
 def _compounds(text: str) -> Iterator[tuple[str, str]]:
     """Both words at each hyphen inside a line."""
     for m in INNER.finditer(text):
@@ -67,7 +78,7 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         edges = []
         for doc, page, text in zip(pdf["doc"], pdf["page"], pdf["text"], strict=True):
-            run = tokens(ACROSS.sub("\n", text))
+            run = tokens(_without_broken(text))
             words.update(run)
             pairs.update(zip(run, run[1:], strict=False))
             compounds.update(_compounds(text.lower()))
