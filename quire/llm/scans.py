@@ -327,7 +327,6 @@ def paragraphs(pages: DataFrame, documents: DataFrame) -> DataFrame:
                     if m["defect"] == "misread" and m["best"] and m["best"] != "#":
                         fixes.setdefault(m["line"], {})[m["word"]] = m["best"]
                 blocks, block, joined = [], [], r.carried if isinstance(r.carried, str) else ""
-                opened = False
                 for number, line in enumerate(r.text.split("\n"), 1):
                     if number in matter:
                         continue
@@ -343,9 +342,7 @@ def paragraphs(pages: DataFrame, documents: DataFrame) -> DataFrame:
                         if block and line[:1] in ".,;:)":
                             block[-1] += line[0]
                             line = line[1:].lstrip()
-                    elif not opened and line[:1].isspace():
-                        pass
-                    opened, joined = True, ""
+                    joined = ""
                     for seen_word, best in fixes.get(number, {}).items():
                         line = re.sub(rf"(?i)(?<![^\W_]){re.escape(seen_word)}(?![^\W_])", lambda m, b=best: b.capitalize() if m.group(0)[:1].isupper() else b, line)
                     if number in breaks:
@@ -355,7 +352,9 @@ def paragraphs(pages: DataFrame, documents: DataFrame) -> DataFrame:
                         word = b["best"] or b["word"]
                         line = stem + (word.capitalize() if tail and tail.group(1)[:1].isupper() else word)
                         joined = b["word"]
-                    if line:
+                    if line and block and re.search(r"[^\W_][-‐]$", block[-1]):
+                        block[-1] += line  # a compound parted at its own hyphen
+                    elif line:
                         block.append(line)
                 if block:
                     blocks.append(" ".join(block))

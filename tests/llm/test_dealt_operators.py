@@ -153,7 +153,7 @@ def test_defects_and_paragraphs(spark):
     assert {x[2:] for x in found if x[:2] == (100, 2)} == {(1, "furniture"), (10, "furniture"), (5, "hyphen")}
     assert not any(x[0] in (200, 201) for x in found)
     text = {(r["doc"], r["page"]): r["text"] for r in scans.paragraphs(frame, docs).collect()}
-    assert "patients were treated" in text[100, 1] and "after the treatment, and the well- known" in text[100, 1].replace("well-known", "well- known") and "Journal" not in text[100, 1]
+    assert "patients were treated" in text[100, 1] and "after the treatment, and the well- known" in text[100, 1].replace("well-known", "well- known") and "the well-known risks" in text[100, 1] and "Journal" not in text[100, 1]
     assert scans.defects(frame.limit(0), docs).count() == 0
 
 
