@@ -34,6 +34,8 @@ WORDS = re.compile(r"[^\W_]+")
 POSITIONS = 32
 WIDTH = 2 * POSITIONS  # a row carries its run's positions, and the next run's for comparing only
 PRIME = np.uint64((1 << 61) - 1)
+MOST_HELD = 1 << 20  # pairs that a task holds before it passes them on
+NODE = "path long, id long, sketch binary, left int"  # left: levels below the node
 
 
 def shingles(text: str, size: int) -> np.ndarray:
@@ -111,12 +113,11 @@ def _buckets(paths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return order, starts, np.diff(np.concatenate((starts, [len(paths)])))
 
 
-def _brute(ids: np.ndarray, sketches: np.ndarray, paths: np.ndarray, least: float) -> list[np.ndarray]:
+def _brute(ids: np.ndarray, sketches: np.ndarray, paths: np.ndarray, least: float) -> Iterator[np.ndarray]:
     """Pairs within each bucket whose sketches agree in at least ``least`` of the positions."""
     order, starts, sizes = _buckets(paths)
     ids, sketches = ids[order], sketches[order]
     bucket = np.repeat(np.arange(len(starts)), sizes)
-    found = []
     for step in range(1, int(sizes.max(initial=1))):
         left = np.flatnonzero(bucket[step:] == bucket[:-step])
         if not len(left):
@@ -125,30 +126,37 @@ def _brute(ids: np.ndarray, sketches: np.ndarray, paths: np.ndarray, least: floa
             i = left[at : at + (1 << 18)]
             near = i[(sketches[i] == sketches[i + step]).mean(axis=1) >= least]
             if len(near):
-                found.append(np.stack([ids[near], ids[near + step]], axis=1))
-    return found
+                yield np.stack([ids[near], ids[near + step]], axis=1)
 
 
-def split_and_compare(ids: np.ndarray, sketches: np.ndarray, paths: np.ndarray, threshold: float, bucket: int, depth: int, least: float) -> np.ndarray:
-    """All pairs that meet in a small bucket below these nodes; what is still large at ``depth`` is compared whole."""
+def split_and_compare(ids: np.ndarray, sketches: np.ndarray, paths: np.ndarray, left: np.ndarray, threshold: float, bucket: int, least: float) -> Iterator[np.ndarray]:
+    """All pairs that meet in a small bucket below these nodes, in pieces.
+
+    ``left`` is the number of levels below each row's node; what is still large with none left is compared whole.
+    """
     found: list[np.ndarray] = []
+    held = 0
     rows = np.arange(len(ids))
-    for level in range(depth + 1):
+    while len(rows):
         order, starts, sizes = _buckets(paths)
         size = np.empty(len(paths), np.int64)
         size[order] = np.repeat(sizes, sizes)
-        done = (size > 1) if level == depth else (size > 1) & (size <= bucket)
-        if done.any():
-            found += _brute(ids[rows[done]], sketches[rows[done]], paths[done], least)
-        large = size > bucket
-        if level == depth or not large.any():
-            break
+        large = (size > bucket) & (left > 0)
+        done = (size > 1) & ~large
+        for piece in _brute(ids[rows[done]], sketches[rows[done]], paths[done], least):
+            found.append(piece)
+            held += len(piece)
+            if held >= MOST_HELD:
+                yield _ordered(found)
+                found, held = [], 0
         below, child = children(paths[large], sketches[rows[large]], threshold)
-        rows, paths = rows[large][below], child
-        if not len(rows):
-            break
-    if not found:
-        return np.empty((0, 2), np.int64)
+        rows, paths, left = rows[large][below], child, left[large][below] - 1
+    if found:
+        yield _ordered(found)
+
+
+def _ordered(found: list[np.ndarray]) -> np.ndarray:
+    """The distinct pairs, the smaller id first."""
     pairs = np.concatenate(found)
     pairs = np.stack([pairs.min(axis=1), pairs.max(axis=1)], axis=1)
     return np.unique(pairs[pairs[:, 0] != pairs[:, 1]], axis=0)
@@ -195,12 +203,16 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_cols: list[str]
             for run in range(runs):
                 own = np.concatenate([whole[:, run], whole[:, (run + 1) % runs]], axis=1)
                 rows, path = children(mix(np.full(len(pdf), run + 1, np.uint64)), own, threshold)
-                yield pd.DataFrame({"path": path.view(np.int64), "id": ids[rows], "sketch": [own[r].tobytes() for r in rows]})
+                yield pd.DataFrame({"path": path.view(np.int64), "id": ids[rows], "sketch": [own[r].tobytes() for r in rows], "left": np.full(len(rows), depth - 1, np.int32)})
 
-    node = "path long, id long, sketch binary"
-    nodes = classes.select("rep", "sketch").mapInPandas(first_level, node)
+    nodes = classes.select("rep", "sketch").mapInPandas(first_level, NODE)
     if n > hot:
-        nodes = _split_hot(cut(nodes), node, threshold, hot, depth - 1)
+        nodes = _split_hot(cut(nodes), threshold, hot, depth - 1)
+    return members, verified(_met(nodes, threshold, bucket), base, size, threshold)
+
+
+def _met(nodes: DataFrame, threshold: float, bucket: int) -> DataFrame:
+    """(rep_a, rep_b): the pairs that meet below these nodes and whose sketches do not rule them out."""
     least = threshold - 3.5 * math.sqrt(threshold * (1 - threshold) / WIDTH)
 
     def compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -211,27 +223,27 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_cols: list[str]
                 continue
             last = held["path"].to_numpy() == held["path"].iloc[-1]
             if not last.all():
-                yield pairs_of(held[~last])
+                yield from pairs_of(held[~last])
                 held = held[last].reset_index(drop=True)
         if held is not None and len(held):
-            yield pairs_of(held)
+            yield from pairs_of(held)
 
-    def pairs_of(pdf: pd.DataFrame) -> pd.DataFrame:
+    def pairs_of(pdf: pd.DataFrame) -> Iterator[pd.DataFrame]:
         sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), WIDTH)
-        found = split_and_compare(pdf["id"].to_numpy(), sketches, pdf["path"].to_numpy().view(np.uint64), threshold, bucket, depth - 1, least)
-        return pd.DataFrame({"rep_a": found[:, 0], "rep_b": found[:, 1]})
+        for found in split_and_compare(pdf["id"].to_numpy(), sketches, pdf["path"].to_numpy().view(np.uint64), pdf["left"].to_numpy(), threshold, bucket, least):
+            yield pd.DataFrame({"rep_a": found[:, 0], "rep_b": found[:, 1]})
 
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    met = nodes.repartition(parts, "path").sortWithinPartitions("path").mapInPandas(compare, "rep_a long, rep_b long").distinct()
-    return members, verified(met, base, size, threshold)
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return nodes.repartition(parts, "path").sortWithinPartitions("path").mapInPandas(compare, "rep_a long, rep_b long").distinct()
 
 
-def _split_hot(nodes: DataFrame, schema: str, threshold: float, hot: int, levels: int) -> DataFrame:
+def _split_hot(nodes: DataFrame, threshold: float, hot: int, levels: int) -> DataFrame:
     """Splits every bucket of more than ``hot`` rows one level on, again while levels remain.
 
     The hot paths are broadcast: there are at most (rows / hot) of them. Buckets that stay hot at the
     last level hold sets alike in every drawn position; they are cut into blocks and every two blocks
-    meet in a bucket of their own, so no pair is lost and no task gets an unbounded bucket.
+    meet in a bucket of their own, with no levels left, so it is compared whole, no pair is lost and no
+    task gets an unbounded bucket.
     """
 
     def deeper(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -240,7 +252,7 @@ def _split_hot(nodes: DataFrame, schema: str, threshold: float, hot: int, levels
                 continue
             sketches = np.frombuffer(b"".join(pdf["sketch"]), np.uint8).reshape(len(pdf), WIDTH)
             rows, path = children(pdf["path"].to_numpy().view(np.uint64), sketches, threshold)
-            yield pd.DataFrame({"path": path.view(np.int64), "id": pdf["id"].to_numpy()[rows], "sketch": pdf["sketch"].to_numpy()[rows]})
+            yield pd.DataFrame({"path": path.view(np.int64), "id": pdf["id"].to_numpy()[rows], "sketch": pdf["sketch"].to_numpy()[rows], "left": pdf["left"].to_numpy()[rows] - 1})
 
     ready: list[DataFrame] = []
     for level in range(levels + 1):
@@ -249,14 +261,14 @@ def _split_hot(nodes: DataFrame, schema: str, threshold: float, hot: int, levels
         if not found:
             return _union([*ready, nodes])
         large = F.broadcast(nodes.sparkSession.createDataFrame([(r["path"], r["n"]) for r in found], "path long, n long"))
-        ready.append(nodes.join(large.select("path"), "path", "left_anti").select("path", "id", "sketch"))
+        ready.append(nodes.join(large.select("path"), "path", "left_anti").select("path", "id", "sketch", "left"))
         if level == levels:
             blocks = nodes.join(large, "path").withColumn("blocks", F.ceil(F.col("n") * 2 / hot).cast("int"))
             mine = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
             other = blocks.withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            ready.append(other.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), "id", "sketch"))
+            ready.append(other.select(F.xxhash64("path", F.least("mine", "other"), F.greatest("mine", "other")).alias("path"), "id", "sketch", F.lit(0).alias("left")))
             return _union(ready)
-        nodes = cut(nodes.join(large.select("path"), "path", "left_semi").select("path", "id", "sketch").mapInPandas(deeper, schema))
+        nodes = cut(nodes.join(large.select("path"), "path", "left_semi").select("path", "id", "sketch", "left").mapInPandas(deeper, NODE))
     return _union(ready)
 
 

@@ -3,6 +3,7 @@
 import random
 import re
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -65,6 +66,26 @@ def test_hot_buckets_are_split(spark):
     assert plain > 0 and abs(plain - split) <= 0.03 * plain
 
 
+def test_block_buckets_lose_no_pair(spark):
+    """Equal sketches never part, so blocks of a hot bucket are compared whole: every pair is met, exactly once."""
+    sketch = np.arange(chosenpath.WIDTH, dtype=np.uint8)
+    pairs = {(a, b) for a in range(90) for b in range(90) if a < b}
+    for threshold, levels in [(0.6, 0), (0.8, 0), (0.6, 1), (0.8, 1)]:
+        draws = [len(chosenpath.children(np.array([p], np.uint64), sketch[None], threshold)[0]) > 0 or not levels for p in range(1, 9)]
+        nodes = spark.createDataFrame([(p, p * 100 + i, sketch.tobytes(), levels) for p in range(1, 9) for i in range(90)], chosenpath.NODE)
+        got = [tuple(r) for r in chosenpath._met(chosenpath._split_hot(nodes, threshold, 20, levels), threshold, 5).collect()]
+        want = {(p * 100 + a, p * 100 + b) for p, on in enumerate(draws, 1) if on for a, b in pairs}
+        assert len(got) == len(want) and set(got) == want
+
+
+def test_levels_already_taken_count():
+    """A bucket that came to a task with no levels left is compared whole, whatever its node would draw."""
+    sketch = np.tile(np.arange(chosenpath.WIDTH, dtype=np.uint8), (180, 1))
+    paths = np.repeat(np.arange(20, dtype=np.uint64), 9)
+    got = np.concatenate(list(chosenpath.split_and_compare(np.arange(180), sketch, paths, np.zeros(180, np.int32), 0.6, 5, 0.3)))
+    assert {tuple(r) for r in got.tolist()} == {(a, b) for a in range(180) for b in range(a + 1, 180) if a // 9 == b // 9}
+
+
 def test_name_pairs(spark):
     lists = [
         "Anthony J. Kadredugren; V. Grotroheran", "Tony KADREDUGREN", "Kadredugren, A.", "Kadredugren, Anthony, PhD", "Anthoyn Kadredugren; et al.", "Victoria G. Grotroheran and Robert Grotroheran",
