@@ -56,22 +56,30 @@ NICKNAMES = {
     }.items()
 }
 FORMAL = {short: formal for formal, shorts in NICKNAMES.items() for short in shorts}
+KNOWN = sorted({*FORMAL, *NICKNAMES})
 
 SHORT_FORMS: dict[str, set[str]] = {}
-for _name in {*FORMAL, *NICKNAMES}:
+for _name in KNOWN:
     for _form in deletions(_name):
         SHORT_FORMS.setdefault(_form, set()).add(_name)
 
 
-def formal(given: str, mentions: int = 0) -> str:
-    """The full form of a given name; a name that hardly occurs may also be a slip of a known short one."""
+def formal(given: str, mentions: int = 0, heard: dict[str, int] | None = None) -> str:
+    """The full form of a given name, which may also be a slip of a known one.
+
+    ``heard`` has the mentions of each full name in all its forms. A slip is what hardly occurs, or a third as
+    often at most as the name it is taken for, as in :func:`token_map`.
+    """
     if given in FORMAL or given in NICKNAMES:
         return FORMAL.get(given, given)
-    if mentions > 2 or len(given) < 3:
+    if len(given) < 3:
         return given
     near = {n for form in deletions(given) for n in SHORT_FORMS.get(form, ()) if distance(given, n, 1) <= 1 and n[0] == given[0]}
     full = {FORMAL.get(n, n) for n in near}
-    return full.pop() if len(full) == 1 else given
+    if len(full) != 1:
+        return given
+    name = full.pop()
+    return name if mentions <= 2 or (heard or {}).get(name, 0) >= 3 * mentions else given
 
 
 def fold(text: str) -> str:
@@ -191,7 +199,9 @@ def token_map(tokens: DataFrame) -> DataFrame:
     """(token, stands_for) for tokens that are taken for a slip of a more frequent one.
 
     ``tokens`` is (token, spellings, n). A token gives way to its best neighbour within one edit if it stands
-    in at most two spellings, or in a third of the neighbour's; a well-known given name never does.
+    in at most two spellings, or in a third of the neighbour's; a well-known given name never does. A token of
+    three letters gives way by the third only, and none is taken for a known given name across three letters:
+    :func:`formal` does that, where the role of the token is known.
     """
 
     def post(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -203,19 +213,20 @@ def token_map(tokens: DataFrame) -> DataFrame:
         for pdf in batches:
             yield pdf[[distance(a, b, 1) == 1 for a, b in zip(pdf["token"], pdf["other"], strict=True)]]
 
-    posted = cut(tokens.where(F.length("token") >= 4).mapInPandas(post, "form string, token string, spellings long, n long"))
+    posted = cut(tokens.where(F.length("token") >= 3).mapInPandas(post, "form string, token string, spellings long, n long"))
     other = posted.select("form", F.col("token").alias("other"), F.col("spellings").alias("other_spellings"), F.col("n").alias("other_n"))
     better = F.struct("other_spellings", "other_n", "other") > F.struct("spellings", "n", "token")
-    gives_way = (F.col("spellings") <= 2) | (F.col("other_spellings") >= 3 * F.col("spellings"))
-    known = F.col("token").isin(*sorted({*FORMAL, *NICKNAMES}))  # well-known given names are no slips
-    met = posted.join(other, "form").where((F.col("token") != F.col("other")) & better & gives_way & ~known).drop("form").distinct()
+    gives_way = ((F.length("token") >= 4) & (F.col("spellings") <= 2)) | (F.col("other_spellings") >= 3 * F.col("spellings"))
+    known = F.col("token").isin(*KNOWN)  # well-known given names are no slips
+    by_role = (F.least(F.length("token"), F.length("other")) < 4) & F.col("other").isin(*KNOWN)
+    met = posted.join(other, "form").where((F.col("token") != F.col("other")) & better & gives_way & ~known & ~by_role).drop("form").distinct()
     chosen = met.mapInPandas(near, met.schema).groupBy("token").agg(F.max_by("other", F.struct("other_spellings", "other_n", "other")).alias("stands_for"))
     chosen = cut(chosen)
     onward = chosen.select(F.col("token").alias("stands_for"), F.col("stands_for").alias("further"))
     return chosen.join(onward, "stands_for", "left").select("token", F.coalesce("further", "stands_for").alias("stands_for"))
 
 
-def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _resolved(batches: Iterator[pd.DataFrame], heard: dict[str, int]) -> Iterator[pd.DataFrame]:
     """Family, given name and initials of a person; the bag of words of a body."""
     for pdf in batches:
         out = []
@@ -227,7 +238,7 @@ def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 continue
             family = r.family
             if family < 0 and len(tokens) >= 2:
-                known = [2 if w["token"] in NICKNAMES or formal(w["token"], w["given"]) != w["token"] else 0 for w in words]
+                known = [2 if w["token"] in NICKNAMES or formal(w["token"], w["given"], heard) != w["token"] else 0 for w in words]
                 odds = [(w["given"] + k + 0.5) / (w["named"] + 0.5) for w, k in zip(words, known, strict=True)]
                 family = len(tokens) - 1 if odds[0] >= odds[-1] else 0
             initials = "".join(r.initials)
@@ -237,7 +248,7 @@ def _resolved(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
             family = max(family, 0)
             rest = [t for i, t in enumerate(tokens) if i != family]
             if rest:
-                rest[0] = formal(rest[0], next(w["given"] for i, w in enumerate(words) if i != family))
+                rest[0] = formal(rest[0], next(w["given"] for i, w in enumerate(words) if i != family), heard)
             given = rest[0] if rest else None
             letters = (given[0] if given else "") + "".join(t[0] for t in rest[1:]) + initials
             out.append((r.spelling, r.n, r.kind, tokens[family], given, letters, " ".join([tokens[family], *rest, *initials])))
@@ -270,10 +281,14 @@ def people(df: DataFrame, column: str = "authors") -> DataFrame:
     words = cut(words.join(slips, "token", "left").withColumn("token", F.coalesce("stands_for", "token")).drop("stands_for"))
     sure = words.where("kind = 'person' and certain and of >= 1")
     votes = sure.groupBy("token").agg(F.sum((F.col("at") == F.col("family")).cast("long")).alias("named"), F.sum((F.col("at") != F.col("family")).cast("long")).alias("given"))
+    heard: dict[str, int] = {}
+    for r in votes.where(F.col("token").isin(*KNOWN)).select("token", "given").collect():  # no more rows than the fixed list has names
+        name = FORMAL.get(r["token"], r["token"])
+        heard[name] = heard.get(name, 0) + r["given"]
     zero = F.lit(0).cast("long")
     seen = words.join(votes, "token", "left").groupBy("spelling").agg(F.collect_list(F.struct("at", "token", F.coalesce("named", zero).alias("named"), F.coalesce("given", zero).alias("given"))).alias("seen"))
     whole = parsed.select("spelling", "n", "kind", "initials", "family").join(seen, "spelling")
-    known = cut(whole.mapInPandas(_resolved, "spelling string, n long, kind string, family string, given string, letters string, tokens string"))
+    known = cut(whole.mapInPandas(lambda batches: _resolved(batches, heard), "spelling string, n long, kind string, family string, given string, letters string, tokens string"))
 
     bodies = known.where("kind = 'body'").select("spelling", "n", "tokens", F.concat(F.lit("body|"), "family").alias("who"))
     persons = known.where("kind = 'person' and family is not null").withColumn("middle", F.substring("letters", 2, 1))

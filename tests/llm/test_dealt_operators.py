@@ -102,6 +102,18 @@ def test_name_pairs(spark):
     assert names.name_pairs(frame.limit(0)).count() == 0
 
 
+def test_frequent_slips_of_short_names(spark):
+    """A slip typed for many people is told by its share, not by a fixed number, and in names of three letters too."""
+    families = ["Kadredugren", "Grotroheran", "Zuprehora", "Tostekrumi", "Brilujago"]
+    lists = [f"{f}, {given}" for f in families for given in ("Alx", "Alexander", "Alexander P.", "Alex", "Sandy")]
+    lists += ["Kem, Robert", "Keem, Robert", "Kem, Anthony", "Kem, V.", "Lem, Robert", "Lem, Victoria", "Lem, William"]
+    got = {tuple(r) for r in names.name_pairs(spark.createDataFrame([(x,) for x in lists], "authors string")).collect()}
+    for f in families:
+        assert (f"{f}, Alexander", f"{f}, Alx") in got
+    assert ("Keem, Robert", "Kem, Robert") in got and ("Kem, Robert", "Lem, Robert") not in got
+    assert names.formal("alx", 5, {"alexander": 15}) == "alexander" and names.formal("alx", 5, {"alexander": 14}) == "alx"
+
+
 def test_newcomers(spark):
     long = "Effect of intravenous iron on sleep in children with asthma: the {} cohort"
     rows = [
