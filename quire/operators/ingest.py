@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.functions import metadata as M
+
 
 def match_state(n_matches: Column) -> Column:
     """An identifier found once names a further version, found more often a conflict."""
@@ -26,6 +28,22 @@ def conflicts(pairs: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     return pairs.select(id_col, rows).select(id_col, "c.*").where("old <> '' and new <> '' and old <> new")
 
 
+def first_pages(pages: DataFrame, most: int) -> DataFrame:
+    """(document_id, head): the first ``most`` pages of each document, joined by line ends."""
+    at = Window.partitionBy("document_id").orderBy("page_number", "text")
+    kept = pages.select("document_id", "page_number", F.coalesce("text", F.lit("")).alias("text")).distinct().withColumn("at", F.row_number().over(at)).where(F.col("at") <= most)
+    return kept.groupBy("document_id").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("at", "text"))), lambda p: p["text"]), "\n").alias("head"))
+
+
+def multi_articles(pages: DataFrame) -> DataFrame:
+    """(document_id, suspected): whether a later page has an abstract's heading and a DOI or PubMed id that the first has not."""
+    own = pages.select("document_id", "page_number", M.doi_in("text").alias("doi"), M.pmid_in("text").alias("pmid"), M.abstract_heading("text").alias("heads"))
+    first = own.groupBy("document_id").agg(F.min(F.struct("page_number", "doi", "pmid")).alias("first"))
+    other = lambda c: (F.col(c) != "") & (F.col(c) != F.col(f"first.{c}"))
+    later = (F.col("page_number") > F.col("first.page_number")) & F.col("heads") & (other("doi") | other("pmid"))
+    return own.join(first, "document_id").groupBy("document_id").agg(F.bool_or(later).alias("suspected"))
+
+
 def fixed_windows(df: DataFrame, id_col: str, text_col: str, size: int = 600, step: int = 520) -> DataFrame:
     """(id, chunk_no, chunk): windows of ``size`` characters every ``step``; the last one reaches the end."""
     n = F.greatest(F.ceil((F.length(text_col) - size) / step), F.lit(0)).cast("int")

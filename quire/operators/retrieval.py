@@ -80,3 +80,38 @@ def metadata_score(query: str) -> Column:
     phrase = F.lower(T.text_of("title")).contains(query.lower())
     title = F.when(phrase, 1.0).otherwise(0.7 * T.coverage(query, "title"))
     return title + 0.35 * T.coverage(query, "authors") + 0.3 * T.coverage(query, "journal") + 0.45 * T.coverage(query, "abstract")
+
+
+def fused_passages(lexical: DataFrame, query: str, text_col: str, ids: list[str], percentages: list[float] = (), numbers: list[float] = (), semantic: DataFrame | None = None, constant: int = 60) -> DataFrame:
+    """(ids, text, score, reasons): passages by the fusion of four rankings.
+
+    ``lexical`` (ids, text, score) has the best matches; references and passages without evidence go before the
+    rank is counted. ``semantic`` (ids, text, rank) is optional. Coverage, at half weight, and nearness of numbers
+    rank what the two have found, later ids first at a tie; 0 earns nothing.
+    """
+    order = lambda score: Window.orderBy(F.col(score).desc(), *[F.col(i).desc() for i in ids])
+    gain = lambda rank, w=1.0: F.lit(w) / (F.lit(constant) + rank)
+    kept = lexical.where(~T.is_reference_passage(text_col) & T.lexical_evidence(query, text_col, percentages, numbers))
+    rank = F.row_number().over(Window.orderBy(F.col("score").desc(), *[F.col(i).asc() for i in ids]))
+    hits = kept.select(*ids, text_col, gain(rank).alias("lex"), F.lit(0.0).alias("sem"))
+    if semantic is not None:
+        near = semantic.select(*ids, text_col, F.lit(0.0).alias("lex"), gain(F.col("rank")).alias("sem"))
+        own = hits.select(*ids, F.lit(True).alias("met"))
+        near = near.join(own, ids, "left").where(F.col("met") | ~T.is_reference_passage(text_col)).drop("met")
+        hits = hits.unionByName(near).groupBy(*ids).agg(F.first(text_col).alias(text_col), F.sum("lex").alias("lex"), F.sum("sem").alias("sem"))
+    hits = hits.withColumn("cov", T.coverage(query, text_col)).withColumn("num", T.numeric_bonus(list(percentages), list(numbers), text_col))
+    for c, w in (("cov", 0.5), ("num", 1.0)):
+        hits = hits.withColumn(f"{c}_gain", F.when(F.col(c) > 0, gain(F.row_number().over(order(c)), w)).otherwise(0.0))
+    told = (("full-text term match", F.col("lex") > 0), ("local semantic similarity", F.col("sem") > 0), ("remembered details occur together", F.col("cov") >= 0.65), ("approximate numerical detail", F.col("num") >= 0.65))
+    reasons = F.array_compact(F.array(*[F.when(test, F.lit(name)) for name, test in told]))
+    return hits.select(*ids, text_col, (F.col("lex") + F.col("sem") + F.col("cov_gain") + F.col("num_gain")).alias("score"), reasons.alias("reasons"))
+
+
+def final_documents(passages: DataFrame, metadata: DataFrame, doc: str, page: str, k: int) -> DataFrame:
+    """The ``k`` best of (doc, page, score, reasons): each document's best passage plus its fused metadata (doc, fused);
+    a document may have either alone."""
+    top = passages.groupBy(doc).agg(F.max_by(F.struct(page, "reasons"), F.struct("score", -F.col(page))).alias("hit"), F.max("score").alias("passage"))
+    both = top.join(metadata.select(doc, "fused"), doc, "full_outer")
+    reasons = F.coalesce(F.nullif(F.col("hit.reasons"), F.array().cast("array<string>")), F.array(F.lit("related library metadata")))
+    scored = both.select(doc, F.col(f"hit.{page}").alias(page), F.round(F.coalesce("passage", F.lit(0.0)) + F.coalesce("fused", F.lit(0.0)), 9).alias("score"), reasons.alias("reasons"))
+    return best(scored, k, "score", doc)

@@ -120,6 +120,19 @@ def year_votes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return votes.groupBy("doc_id").agg(F.max_by("year", F.struct(F.col("n"), -F.col("first_at"))).alias("year"), F.max("n").alias("n_votes"))
 
 
+def page_metadata(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Year of publication, journal and abstract of each document as its first pages give them."""
+    pages = read(spark, sf_dir, "document_pages")
+    made = _docs(spark, sf_dir).select(F.col("doc_id").alias("document_id"), (F.year("created_at") + 1).alias("latest"))
+    two = I.first_pages(pages, 2).join(made, "document_id").select("document_id", M.publication_year("head", F.col("latest")).alias("year"), M.journal_in("head").alias("journal"))
+    return two.join(I.first_pages(pages, 4).select("document_id", M.abstract_in("head").alias("abstract")), "document_id")
+
+
+def multi_articles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that seem to hold several articles, by their later pages."""
+    return I.multi_articles(read(spark, sf_dir, "document_pages"))
+
+
 def clean_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Titles cleaned, cut, as slug and as file name."""
     return _docs(spark, sf_dir).select("doc_id", F.length(M.clean("title")).alias("n_clean"), T.truncate("title", 40).alias("short_title"), T.slug("title").alias("slug"), T.title_from_file_name(F.concat(T.slug("title"), F.lit(".pdf"))).alias("from_file"))
@@ -176,7 +189,7 @@ def size_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    own = (exact_duplicates, identifier_matches, title_duplicates, review_states, metadata_conflicts, version_labels, asset_states, fixed_chunks, sentence_chunks, page_margins, page_blocks, block_order, inferred_metadata, year_votes, clean_titles, normalised_titles, bibtex_records, ris_records, markdown_tables, csv_rows, hash_embedding, size_medians)
+    own = (exact_duplicates, identifier_matches, title_duplicates, review_states, metadata_conflicts, version_labels, asset_states, fixed_chunks, sentence_chunks, page_margins, page_blocks, block_order, inferred_metadata, year_votes, page_metadata, multi_articles, clean_titles, normalised_titles, bibtex_records, ris_records, markdown_tables, csv_rows, hash_embedding, size_medians)
     return {f.__name__: f for f in own}
 
 

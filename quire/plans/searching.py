@@ -124,6 +124,41 @@ def rrf_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.best(fused, 20, "fused", "doc_id").join(docs.select("doc_id", "title"), "doc_id")
 
 
+def _passages(spark: SparkSession, sf_dir: str, query: str, percentages: list[float] = (), numbers: list[float] = ()) -> DataFrame:
+    """Fused passages of active documents with an available file; the tables have no vectors of pages."""
+    files = read(spark, sf_dir, "document_files").where("availability = 'available'").select("document_id").distinct()
+    active = _active(spark, sf_dir).select(F.col("doc_id").alias("document_id"))
+    pages = retrieval.bm25(_pages(spark, sf_dir).distinct(), query, "text").withColumn("score", F.round("score", 6))
+    allowed = pages.join(active, "document_id", "left_semi").join(files, "document_id", "left_semi")
+    return retrieval.fused_passages(retrieval.best(allowed, 200, "score", "document_id", "page_number"), query, "text", ["document_id", "page_number"], percentages, numbers)
+
+
+def _documents(spark: SparkSession, sf_dir: str, query: str, k: int) -> DataFrame:
+    named = _active(spark, sf_dir).select(F.col("doc_id").alias("document_id"), F.round(retrieval.metadata_score(query), 6).alias("score")).where("score > 0")
+    fused = retrieval.fuse([(retrieval.best(named, 200, "score", "document_id"), 1.0)], ["document_id"])
+    return retrieval.final_documents(_passages(spark, sf_dir, query), fused, "document_id", "page_number", k)
+
+
+def hybrid_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best passages for a question with numbers, by all rankings."""
+    found = _passages(spark, sf_dir, NUMBERS, [5.0], [200.0]).withColumn("score", F.round("score", 9))
+    return retrieval.best(found.drop("text"), 20, "score", "document_id", "page_number")
+
+
+def hybrid_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best documents for a question: best passage and metadata together."""
+    return _documents(spark, sf_dir, QUESTION, 20)
+
+
+def related_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five documents found by the title of the first one, itself left out."""
+    first = _active(spark, sf_dir).where("title <> ''").orderBy("doc_id").select("doc_id", "title").first()
+    if first is None:
+        return _documents(spark, sf_dir, "", 5)
+    found = _documents(spark, sf_dir, first["title"], 6).where(F.col("document_id") != first["doc_id"])
+    return retrieval.best(found.drop("rank"), 5, "score", "document_id")
+
+
 def author_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents of an author: by the author list, and by the first page's beginning."""
     name = AUTHOR.lower()
@@ -179,7 +214,7 @@ def size_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    own = (bm25_passages, fts_documents, bm25_available, query_terms_stats, fts_query_strings, term_coverage, lexical_evidence, numeric_closeness, passage_kinds, snippets, snippet_provenance, title_intents, metadata_scores, rrf_documents, author_search, document_lookup, vector_topk, vector_qualified, nearest_label, size_percentiles)
+    own = (bm25_passages, fts_documents, bm25_available, query_terms_stats, fts_query_strings, term_coverage, lexical_evidence, numeric_closeness, passage_kinds, snippets, snippet_provenance, title_intents, metadata_scores, rrf_documents, hybrid_passages, hybrid_documents, related_documents, author_search, document_lookup, vector_topk, vector_qualified, nearest_label, size_percentiles)
     return {f.__name__: f for f in own}
 
 

@@ -184,3 +184,23 @@ def test_taxonomy(spark):
     was = spark.createDataFrame([("a", True, 1), ("b", False, 1)], "id string, locked boolean, v int")
     got = {r["id"]: (r["v"], r["changed"]) for r in taxonomy.protected_upsert(was, spark.createDataFrame([("a", 9), ("b", 9), ("c", 9)], "id string, v int"), ["id"], "locked", "v").collect()}
     assert got == {"a": (1, False), "b": (9, True), "c": (9, True)}
+
+
+def test_metadata_of_first_pages(spark):
+    head = "Thorax 2014; 69: 1\nPublished online 3 May 2015\nABSTRACT: Sleep was\nbetter.\nMethods\nWe slept. copyright 2016"
+    pages = [(1, 1, head), (1, 2, "text"), (2, 1, "doi: 10.1234/a1\nfirst"), (2, 2, "Abstract:\ndoi: 10.1234/b2"), (3, 1, "doi: 10.1234/a1"), (3, 2, "Abstract\ndoi: 10.1234/A1."), (4, 1, "in 2011 copyright 2090, (2012) 7-9"), (4, 2, "see doi: 10.1234/c3")]
+    frame = spark.createDataFrame(pages, "document_id long, page_number int, text string")
+    rows = ingest.first_pages(frame, 2).select("document_id", M.publication_year("head", F.lit(2031)).alias("y"), M.journal_in("head").alias("j"), M.abstract_in("head").alias("a")).collect()
+    got = {r["document_id"]: (r["y"], r["j"], r["a"]) for r in rows}
+    assert got[1] == (2014, "Thorax", "Sleep was better.") and got[4] == (2012, "", "") and got[3][0] is None
+    assert {tuple(r) for r in ingest.multi_articles(frame).collect()} == {(1, False), (2, True), (3, False), (4, False)}
+
+
+def test_passages_are_fused_over_survivors(spark):
+    rows = [(1, 1, "References\nsevere bleeding", 9.0), (1, 2, "severe bleeding in 5% of cases", 8.0), (2, 1, "severe pain", 7.0), (3, 1, "bleeding that was severe", 6.0)]
+    found = retrieval.fused_passages(spark.createDataFrame(rows, "d int, p int, text string, score double"), "severe bleeding", "text", ["d", "p"], [5.0])
+    got = {(r["d"], r["p"]): r["score"] for r in found.collect()}
+    assert set(got) == {(1, 2), (3, 1)}
+    assert got[(1, 2)] == pytest.approx(1 / 61 + 0.5 / 62 + 1 / 61)
+    final = retrieval.final_documents(found, spark.createDataFrame([(7, 1 / 61)], "d int, fused double"), "d", "p", 10).collect()
+    assert final[0]["d"] == 1 and [r["reasons"] for r in final if r["d"] == 7] == [["related library metadata"]]
