@@ -137,7 +137,7 @@ class Model:
             found["#"] = -6.0
         found.pop(word, None)
         # An unknown word beside a known one that a confusion explains is hardly ever a word of its own.
-        out = [(word, doubt if found and not own else 0.0), *sorted(found.items(), key=lambda x: (-x[1], x[0]))[:12]]
+        out = [(word, doubt if found and not own else 0.0), *sorted(found.items(), key=lambda x: (-x[1], x[0]))]
         if len(self.memo) < 200_000:
             self.memo[word] = out
         return out

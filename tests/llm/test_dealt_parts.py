@@ -135,3 +135,10 @@ def test_channel_reads_through_noise():
     assert model.decode("zorbandal region".split()) == "zorbandal region".split()
     assert model.decode(["2o16"]) == ["#"] and channel.numeric("l12") and not channel.numeric("fev1")
     assert channel.shape("Bulletin | 197S | 81") == channel.shape("Bullctin | 1975 | 82")
+
+
+def test_channel_keeps_every_reading():
+    word = "hrnniiclr"
+    readings = {v for v, _, _ in channel.reversals(word)}
+    model = channel.Model(dict.fromkeys(readings, 100), {}, {}, 100 * len(readings))
+    assert len(readings) > 12 and {v for v, _ in model.candidates(word)} == {word, *readings}
