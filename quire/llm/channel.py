@@ -1,19 +1,23 @@
 """The noisy channel of problem 2: which characters a scanner takes for which, and how likely words are.
 
-``Model`` holds the words and word pairs of at least ``SHARE`` of the corpus, so never more than 1 / SHARE of
-each, whatever the size of the corpus; that bound is what allows it to be sent to every task.
+Every confusion keeps the *strokes* of a word (m is three strokes, rn is one and two), so all readings of a
+word have equal strokes. Words are therefore judged in buckets of equal strokes, which Spark shuffles; no
+task needs more of the vocabulary than its buckets. :class:`Model` is the same on tables that one task holds.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from functools import lru_cache
+from typing import NamedTuple
 
-SHARE = 2e-6
 LEAST = 3
 # A word is taken for noise if one confusion leads to a word this many times as frequent, or two confusions to one TWICE times.
 ONCE, TWICE = 40, 400
+# The same for a word with digits among its letters, and for a number with letters in it.
+ONCE_DIGITS, TWICE_DIGITS, NUMBER = 5, 20, 8
 # What is printed and what the scanner reads instead.
 CONFUSIONS = [
     tuple(pair.split(">"))
@@ -23,8 +27,13 @@ CONFUSIONS = [
         "é>ê é>è è>é ê>é é>e è>e ê>e á>a à>a â>a ä>a í>i î>i ó>o ô>o ö>o ú>u ü>u ñ>n ç>c ß>b"
     ).split()
 ]
-NUMBER_LIKE = re.compile(r"[0-9oilsbgqzt]+")
-STRAY = re.compile(r"[»«_^{}~\\•¦§°]")
+# The strokes that the confusions above keep.
+STROKES = str.maketrans(
+    {c: strokes for group, strokes in (("ecéèêëç", "c"), ("ao0áàâäóòôö", "o"), ("il1íìîïr", "i"), ("ft7", "t"), ("s5", "s"), ("z2", "z"), ("hbß68gq9unúùûüñ", "ii"), ("m", "iii"), ("d", "ci"), ("w", "vv"), ("ﬁﬂ", "ti"), ("ﬀ", "tt"), ("ﬃ", "tti")) for c in group}
+)
+# Letters read in place of digits.
+DIGITS = str.maketrans("lIiOoSB", "1110058")
+NUMBER_LIKE = re.compile(r"[0-9lIiOoSB]+")
 WORD = re.compile(r"[^\W_]+")
 FOLD_MANY = (("rm", "nn"), ("rn", "m"), ("in", "m"), ("ii", "u"), ("vv", "w"), ("cl", "d"), ("li", "h"), ("ﬁ", "fi"), ("ﬂ", "fl"))
 
@@ -40,6 +49,7 @@ FOLD = _fold_table()
 BY_FIRST: dict[str, list[tuple[str, str]]] = {}
 for _op in CONFUSIONS:
     BY_FIRST.setdefault(_op[1][0], []).append(_op)
+AT = {op: i for i, op in enumerate(CONFUSIONS)}
 
 
 @lru_cache(maxsize=100_000)
@@ -58,17 +68,27 @@ def _part(word: str) -> str:
 
 def shape(line: str) -> str:
     """One form for a line of page matter: numbers as #, words folded, signs as blanks."""
-    return " ".join(map(_part, WORD.findall(STRAY.sub(" ", line).lower())))
+    return " ".join(map(_part, WORD.findall(line.lower())))
+
+
+@lru_cache(maxsize=200_000)
+def _token(word: str) -> str:
+    return "#" if word.isdigit() else word if numeric(word) else word.lower()
 
 
 def tokens(line: str) -> list[str]:
-    """Lower-case words, plain numbers as #."""
-    return ["#" if t.isdigit() else t for t in WORD.findall(line.lower())]
+    """Lower-case words, plain numbers as #; numbers with letters in them keep their case, which tells B from 8."""
+    return [_token(w) for w in WORD.findall(line)]
 
 
 def numeric(word: str) -> bool:
-    """A word of digits and letters that look like digits, with a digit among them."""
-    return NUMBER_LIKE.fullmatch(word) is not None and any(c in "0123456789" for c in word)
+    """A number in which at most half of the digits may have been read as letters."""
+    return NUMBER_LIKE.fullmatch(word) is not None and 2 * sum("0" <= c <= "9" for c in word) >= len(word)
+
+
+def strokes(word: str) -> str:
+    """The key that every reading of the word shares; numbers with letters share that of the number."""
+    return "#" + word.translate(DIGITS) if numeric(word) else word.translate(STROKES)
 
 
 def reversals(word: str, start: int = 0) -> list[tuple[str, int, tuple[str, str]]]:
@@ -81,108 +101,161 @@ def reversals(word: str, start: int = 0) -> list[tuple[str, int, tuple[str, str]
     return out
 
 
+class Entry(NamedTuple):
+    """What the corpus knows of a word: its count (0 if it is no word of its own), whether another word may have
+    become it, the words it may be a reading of, their counts and the confusions that lead from each."""
+
+    n: int
+    doubtful: bool
+    readings: list[str]
+    counts: list[int]
+    ways: list[str]  # per reading, its ways: confusions as "3" or "3+17", parted by blanks
+
+
+def bucket(words: dict[str, int], numbers: dict[str, int]) -> tuple[dict[str, Entry], Counter, Counter]:
+    """The entries of all words of one bucket of equal strokes, how often each confusion explains a noise word,
+    and how often what it starts from is printed. ``numbers`` has the counts of plain numbers."""
+    counted = {w: n for w, n in words.items() if n >= LEAST}
+    hits, shown = Counter(), Counter()
+    noise = set()
+    for w, n in counted.items():
+        if numeric(w):
+            if numbers.get(w.translate(DIGITS), 0) >= NUMBER * n:
+                noise.add(w)
+            continue
+        if len(counted) == 1:
+            continue
+        once, twice = (ONCE_DIGITS, TWICE_DIGITS) if any("0" <= c <= "9" for c in w) else (ONCE, TWICE)
+        before = reversals(w)
+        best = max(((counted.get(v, 0), v, op) for v, _, op in before), default=(0, "", None))
+        if best[0] >= once * n:
+            noise.add(w)
+            hits[AT[best[2]]] += n
+        elif len(w) >= 4 and any(counted.get(u, 0) >= twice * n for v, at, _ in before for u, _, _ in reversals(v, at)):
+            noise.add(w)
+    sure = {w: n for w, n in counted.items() if w not in noise}
+    for w, n in sure.items():
+        for i, (true, _) in enumerate(CONFUSIONS):
+            if true in w:
+                shown[i] += n * w.count(true)
+    out = {}
+    for w in words:
+        own = sure.get(w, 0)
+        found: dict[str, list[str]] = {}
+        if numeric(w):
+            found = {} if own else {"#": [""]}
+        elif sure and (len(sure) > 1 or w not in sure):
+            for v, _, op in reversals(w):
+                if v != w and v in sure and (own or sure[v] >= 5):
+                    found.setdefault(v, []).append(str(AT[op]))
+            if not found and not own and (len(w) >= 7 or (len(w) >= 4 and any(c.isdigit() for c in w))):
+                for v, at, op in reversals(w):
+                    for u, _, other in reversals(v, at):
+                        if u != w and sure.get(u, 0) >= 20:
+                            found.setdefault(u, []).append(f"{AT[op]}+{AT[other]}")
+        doubtful = bool(own) and bool(found)
+        out[w] = Entry(own, doubtful, list(found), [sure.get(v, 0) for v in found], [" ".join(sorted(set(x))) for x in found.values()])
+    return out, hits, shown
+
+
+def doubt(entry: Entry) -> float:
+    """Log probability of a word being one of its own: an unknown word beside a known one that a confusion explains hardly is."""
+    return 0.0 if entry.n or not entry.readings else -12.0 if any("+" in way for way in entry.ways) else -8.0
+
+
+def rates(hits: dict[int, int], shown: dict[int, int]) -> list[float]:
+    """The log rate of each confusion."""
+    return [math.log((hits.get(i, 0) + 0.2) / (shown.get(i, 0) + 2000)) for i in range(len(CONFUSIONS))]
+
+
+def scores(entry: Entry, rate: list[float]) -> list[float]:
+    """The log probability of each reading's likeliest way; a number is read wrongly by e to the power of -6."""
+    return [max(sum(rate[int(i)] for i in way.split("+")) for way in ways.split(" ")) if ways else -6.0 for ways in entry.ways]
+
+
+class Reader:
+    """Decodes runs of words in a corpus of ``total`` words.
+
+    ``entries`` maps a word to (count, doubtful, readings, counts, scores, doubt), ``pairs`` a pair to its count.
+    """
+
+    def __init__(self, total: int):
+        self.total = max(total, 1)
+
+    def candidates(self, word: str, entry: tuple | None) -> list[tuple[str, float, int]]:
+        """(reading, log probability of ``word`` being what is seen of it, count), the word itself first."""
+        if entry is None:
+            return [(word, 0.0, 0)]
+        n, _, readings, counts, score, doubt = entry
+        return [(word, doubt, n), *sorted(zip(readings, score, counts, strict=True), key=lambda x: (-x[1], x[0]))]
+
+    def pair(self, n_before: int, n_word: int, n_pair: int) -> float:
+        """Log probability of a word after another."""
+        n = n_pair if n_before and n_word else 0
+        return math.log((n + 10.0 * (n_word + 0.3) / self.total) / (n_before + 10.0))
+
+    def alone(self, word: str, entry: tuple | None) -> str:
+        """The likeliest reading of a word by itself."""
+        return max(self.candidates(word, entry), key=lambda c: c[1] + math.log((c[2] + 0.3) / self.total))[0]
+
+    def decode(self, before: tuple[str, int], run: list[str], after: tuple[str, int], entries: dict[str, tuple], pairs: dict[tuple[str, str], int]) -> list[str]:
+        """The likeliest words of a run between two certain neighbours (Viterbi over every reading of each word).
+
+        A doubtful word that the corpus has after and before its neighbours as printed stays.
+        """
+        ring = [before[0], *run, after[0]]
+        choices = []
+        for i, w in enumerate(run, 1):
+            entry = entries.get(w)
+            certain = entry is not None and entry[1] and pairs.get((ring[i - 1], w), 0) >= LEAST and pairs.get((w, ring[i + 1]), 0) >= LEAST
+            choices.append([(w, 0.0, entry[0])] if certain else self.candidates(w, entry))
+        if all(len(c) == 1 for c in choices):
+            return list(run)
+        paths = [(0.0, [before])]
+        for options in [*choices, [(after[0], 0.0, after[1])] if after[0] else []]:
+            if not options:
+                break
+            paths = [
+                max(((t + self.pair(way[-1][1], n, pairs.get((way[-1][0], v), 0)) + s, [*way, (v, n)]) for t, way in paths), key=lambda x: x[0])
+                for v, s, n in options
+            ]
+        best = max(paths, key=lambda x: x[0])[1]
+        return [v for v, _ in best[1 : len(run) + 1]]
+
+
 class Model:
-    """Words, word pairs and confusions with their counts; built on the driver from bounded tables."""
-
-    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], compounds: dict[tuple[str, str], int], total: int):
-        self.words, self.pairs, self.compounds, self.total = words, pairs, compounds, max(total, 1)
-        self.rate = dict.fromkeys(CONFUSIONS, 1e-4)
-        self.memo: dict[str, list[tuple[str, float]]] = {}
-        self.noise: set[str] = set()
-        self._learn()
-
-    def _learn(self) -> None:
-        """Mark noise words, then take each confusion's rate from how often it explains them."""
-        hits: dict[tuple[str, str], float] = {}
-        for word, n in self.words.items():
-            if word == "#":
-                continue
-            best = max(((self.words.get(v, 0), v, op) for v, _, op in reversals(word)), default=(0, "", ("", "")))
-            if numeric(word) or best[0] >= ONCE * n:
-                self.noise.add(word)
-                if best[0] >= ONCE * n:
-                    hits[best[2]] = hits.get(best[2], 0) + n
-            elif len(word) >= 4 and any(self.words.get(u, 0) >= TWICE * n for v, at, _ in reversals(word) for u, _, _ in reversals(v, at)):
-                self.noise.add(word)
-        shown: dict[str, int] = {}
-        for true in {t for t, _ in CONFUSIONS}:
-            shown[true] = sum(n * w.count(true) for w, n in self.words.items() if w not in self.noise)
-        for op in CONFUSIONS:
-            self.rate[op] = (hits.get(op, 0) + 0.2) / (shown[op[0]] + 2000)
-        # Words that another word of the corpus may have become: only a line's context tells them apart.
-        self.doubtful = {w for w, n in self.words.items() if w not in self.noise and w != "#" and any(v in self.words and v not in self.noise and v != w for v, _, _ in reversals(w))}
-
-        self.sure = (set(self.words) - self.noise) | {"#"}
-
-    def known(self, word: str) -> bool:
-        return word == "#" or (word in self.words and word not in self.noise)
+    """The channel on tables that one task holds: for small corpora and tests."""
+
+    def __init__(self, words: dict[str, int], pairs: dict[tuple[str, str], int], compounds: dict[tuple[str, str], int], total: int, numbers: dict[str, int] | None = None):
+        self.pairs, self.compounds, self.reader = pairs, compounds, Reader(total)
+        groups: dict[str, dict[str, int]] = {}
+        for w, n in words.items():
+            groups.setdefault(strokes(w), {})[w] = n
+        self.groups, self.numbers, self.entries = groups, numbers or {}, {}
+        hits, shown = Counter(), Counter()
+        found: dict[str, Entry] = {}
+        for group in groups.values():
+            entries, h, s = bucket(group, self.numbers)
+            found |= entries
+            hits += h
+            shown += s
+        self.rate = rates(hits, shown)
+        self.entries = {w: self._scored(e) for w, e in found.items()}
+
+    def _scored(self, e: Entry) -> tuple:
+        counts = [self.groups.get("#", {}).get("#", 0) if v == "#" else n for v, n in zip(e.readings, e.counts, strict=True)]
+        return e.n, e.doubtful, e.readings, counts, scores(e, self.rate), doubt(e)
+
+    def entry(self, word: str) -> tuple:
+        """The entry of a word, be it in the corpus or not."""
+        if word not in self.entries:
+            self.entries[word] = self._scored(bucket({**self.groups.get(strokes(word), {}), word: 0}, self.numbers)[0][word])
+        return self.entries[word]
 
     def candidates(self, word: str) -> list[tuple[str, float]]:
-        """(word, log probability of reading it as ``word``), the word itself first."""
-        if word in self.memo:
-            return self.memo[word]
-        found: dict[str, float] = {}
-        own = self.words.get(word, 0) if self.known(word) else 0
-        for v, _, op in reversals(word):
-            if self.known(v) and (own or self.words[v] >= 5):
-                found[v] = max(found.get(v, -99.0), math.log(self.rate[op]))
-        doubt = -8.0
-        if not found and not own and (len(word) >= 7 or (len(word) >= 4 and any(c.isdigit() for c in word))):
-            doubt = -12.0
-            for v, at, op in reversals(word):
-                for u, _, other in reversals(v, at):
-                    if self.known(u) and self.words[u] >= 20:
-                        found[u] = max(found.get(u, -99.0), math.log(self.rate[op]) + math.log(self.rate[other]))
-        if numeric(word):
-            found["#"] = -6.0
-        found.pop(word, None)
-        # An unknown word beside a known one that a confusion explains is hardly ever a word of its own.
-        out = [(word, doubt if found and not own else 0.0), *sorted(found.items(), key=lambda x: (-x[1], x[0]))]
-        if len(self.memo) < 200_000:
-            self.memo[word] = out
-        return out
-
-    def pair(self, a: str, b: str) -> float:
-        """Log probability of ``b`` after ``a``; what the confusions of a likelier pair explain is not counted."""
-        base = self.words.get(b, 0) if self.known(b) else 0
-        before = self.words.get(a, 0) if self.known(a) else 0
-        n = self.pairs.get((a, b), 0) if base and before else 0
-        return math.log((n + 10.0 * (base + 0.3) / self.total) / (before + 10.0))
-
-    def plain(self, line: list[str]) -> bool:
-        """Whether nothing in the line asks for decoding: every word known, every doubtful one in known company."""
-        if not self.sure.issuperset(line):
-            return False
-        if self.doubtful.isdisjoint(line):
-            return True
-        pairs, doubtful = self.pairs, self.doubtful
-        last = len(line) - 1
-        for i, w in enumerate(line):
-            if w in doubtful and ((line[i - 1] if i else "", w) not in pairs or (i < last and (w, line[i + 1]) not in pairs)):
-                return False
-        return True
+        """(reading, log probability), the word itself first."""
+        return [(v, s) for v, s, _ in self.reader.candidates(word, self.entry(word))]
 
     def decode(self, line: list[str]) -> list[str]:
-        """The likeliest words of a line (Viterbi over the candidates of each word).
-
-        A word without other candidates is the same on every path, so each run of words with candidates
-        is decoded between its neighbours.
-        """
-        out = list(line)
-        i, n = 0, len(line)
-        while i < n:
-            w = line[i]
-            if (w in self.sure and w not in self.doubtful) or len(self.candidates(w)) == 1:
-                i += 1
-                continue
-            before = out[i - 1] if i else ""
-            paths = [(s + self.pair(before, v), [v]) for v, s in self.candidates(w)]
-            i += 1
-            while i < n and not (line[i] in self.sure and line[i] not in self.doubtful) and len(self.candidates(line[i])) > 1:
-                paths = [max(((t + self.pair(way[-1], v) + s, [*way, v]) for t, way in paths), key=lambda x: x[0]) for v, s in self.candidates(line[i])]
-                i += 1
-            if i < n:
-                paths = [(t + self.pair(way[-1], line[i]), way) for t, way in paths]
-            best = max(paths, key=lambda x: x[0])[1]
-            out[i - len(best) : i] = best
-        return out
+        """The likeliest words of a line."""
+        return self.reader.decode(("", 0), line, ("", 0), {w: self.entry(w) for w in line}, self.pairs)

@@ -7,7 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from quire.llm import chosenpath, confusables, history, mixing, names, packing, queries, scans, tokens
+from quire.llm import channel, chosenpath, confusables, history, mixing, names, packing, queries, scans, tokens
 
 
 def test_same_look_pairs(spark):
@@ -190,6 +190,49 @@ def test_defects_and_paragraphs(spark):
     assert scans.defects(frame.limit(0), docs).count() == 0
 
 
+def test_signs_codes_and_capitals_survive(spark):
+    """What is printed stays: signs beside words and figures, quotes in pairs, codes; capitals stay capitals."""
+    clean = "Samples were kept at 37 °C and § 4 and « bonjour » in the ward; vitamin b12 and t4 were given."
+    rows = [(r[0], r[1], r[2].replace("\nA well-known", f"\n{clean}\nA well-known")) for r in pages()[2:] if r[2]] + [(300, 1, f"DNA was found in many patients.\nDNA was found in rnany DNA samples.\n{clean}\nThe patients were treated.")]
+    frame = spark.createDataFrame(rows, "document_id long, page_number int, text string")
+    docs = spark.createDataFrame([(1, None, None)], "doc_id long, title string, journal string")
+    found = [r for r in scans.defects(frame, docs).collect() if r["doc"] == 300]
+    assert [(r["line"], r["word"], r["best"]) for r in found if r["defect"] == "misread"] == [(2, "rnany", "many")]
+    text = {(r["doc"], r["page"]): r["text"] for r in scans.paragraphs(frame, docs).collect()}
+    assert clean in text[300, 1] and "found in many DNA samples" in text[300, 1]
+    assert scans._cased("RNANY", "many") == "MANY" and scans._cased("Rnany", "many") == "Many" and scans._cased("rnany", "many") == "many"
+
+
+def test_added_signs_are_told_by_their_places(spark):
+    """The same sign is noise between words that follow each other elsewhere, and printed where its places are its own."""
+    rnd = random.Random(4)
+    rows = []
+    for doc in range(300):
+        words = ["patients", "were", "treated", "in", "care", "units", "with", "twelve", "known", "risks", "(p", "=", "0.1)"]
+        at = rnd.randrange(1, 10)
+        rows.append((doc, 1, "\n".join(["Opening line of the page here", "another line", " ".join(words), " ".join([*words[:at], "~", *words[at:]] if doc % 5 == 0 else words), "last line but one of it", "the last line"])))
+    frame = spark.createDataFrame(rows, "document_id long, page_number int, text string")
+    docs = spark.createDataFrame([(1, None, None)], "doc_id long, title string, journal string")
+    found = {(r["doc"], r["line"]) for r in scans.defects(frame, docs).where("defect = 'misread'").collect()}
+    assert found == {(doc, 4) for doc in range(0, 300, 5)}
+
+
+def test_runs_decoded_by_joins_equal_one_task(spark):
+    """The joined decoder gives what the channel gives on tables that one task holds."""
+    frame = spark.createDataFrame(pages(), "document_id long, page_number int, text string")
+    tables = scans.corpus(scans.facts(scans._rows(frame)))
+    words = {r["word"]: r["n"] for r in tables.lexicon.collect()}
+    pairs = {(r["a"], r["b"]): r["n"] for r in tables.pairs.collect()}
+    model = channel.Model(words, pairs, {}, tables.frequent.value.total)
+    runs = ["patlents vvere treated", "patlents", "qua1ity", "patients were"]
+    keys = spark.createDataFrame([(f"\n{run}\n",) for run in runs], "key string")
+    for share in (scans.SHARE, 1.0):  # with and without the frequent words at hand
+        bare = tables._replace(frequent=spark.sparkContext.broadcast(tables.frequent.value._replace(entries={}, pairs={}))) if share == 1.0 else tables
+        got = {r["key"].strip(): list(r["best"]) for r in scans.decoded(keys, bare).collect()}
+        for run in runs:
+            assert got.get(run, run.split()) == model.decode(run.split())
+
+
 @pytest.mark.parametrize("name", sorted(queries.queries()))
 def test_registered_queries_give_rows(spark, data, name):
     frame = queries.queries()[name](spark, data)

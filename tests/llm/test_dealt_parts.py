@@ -142,3 +142,16 @@ def test_channel_keeps_every_reading():
     readings = {v for v, _, _ in channel.reversals(word)}
     model = channel.Model(dict.fromkeys(readings, 100), {}, {}, 100 * len(readings))
     assert len(readings) > 12 and {v for v, _ in model.candidates(word)} == {word, *readings}
+
+
+def test_confusions_keep_the_strokes():
+    """All readings of a word fall into its bucket, so judging buckets equals judging the whole vocabulary."""
+    assert all(t.translate(channel.STROKES) == s.translate(channel.STROKES) for t, s in channel.CONFUSIONS)
+    assert channel.strokes("S8") == channel.strokes("58") == "#58"
+
+
+def test_codes_are_no_misread_numbers():
+    assert channel.tokens("b12 t4 b6 1st 20s 5g il6 q10 DNA 37 B3") == ["b12", "t4", "b6", "1st", "20s", "5g", "il6", "q10", "dna", "#", "B3"]
+    assert not any(map(channel.numeric, "b12 t4 b6 1st 20s 5g il6 q10".split()))
+    model = channel.Model({"B12": 50, "l2": 4, "#": 4000, "vitamin": 60}, {("vitamin", "B12"): 50}, {}, 10_000, {"812": 30, "12": 300})
+    assert model.decode(["vitamin", "B12"]) == ["vitamin", "B12"] and model.decode(["vitamin", "l2"]) == ["vitamin", "#"]
