@@ -130,6 +130,44 @@ def test_newcomers(spark):
     assert history.newcomers(docs.limit(0), files.limit(0)).count() == 0
 
 
+def history_rows():
+    long = "Effect of intravenous iron on sleep in children with asthma: the {} {} cohort"
+    words = [f"{a}{b}{c}" for a in ("ri", "gra", "stu", "vo") for b in ("vor", "don", "lon", "tek") for c in ("mer", "da", "te", "sil")]
+    titles = [(i, 0, long.format(w, w[::-1])) for i, w in enumerate(words)]
+    later = [(100 + i, 1 + i % 3, long.format(w[:2] + w[3:], w[::-1])) for i, w in enumerate(words[:12])]  # a letter left out of a rare word
+    hot = [(200 + i, 1, f"Outcomes after pandemovir therapy in region {w}{w[::-1]} of the north") for i, w in enumerate(words)] + [(300, 2, "Outcomes after pandemovir therapy in region rivormreremrovir of the north")]
+    return [(i, b, t, None, None) for i, b, t in [*titles, *later, *hot, (301, 2, long.format("rivormer", "quite"))]]
+
+
+def works_of(index):
+    return {r["doc_id"]: r["work"] for r in index.works().collect()}
+
+
+def test_history_goes_on_where_it_left_off(spark, tmp_path):
+    """An index opened again, in another session, equals one that was never left; nothing is lost or written twice."""
+    docs = spark.createDataFrame(history_rows(), "doc_id long, import_batch int, title string, normalized_title string, doi string")
+    files = spark.createDataFrame([(1, "a" * 63 + "b"), (205, "A" * 63 + "B")], "document_id long, sha256 string")
+    whole = works_of(history.add_all(docs, files))
+    path = f"file://{tmp_path}/index"
+    for number in range(4):
+        again = history.HistoryIndex(spark.newSession(), path)
+        assert again.batches == list(range(number))
+        again.add(number, docs.where(F.col("import_batch") == number), files.join(docs.where(F.col("import_batch") == number), F.col("doc_id") == F.col("document_id"), "left_semi"))
+    opened = history.HistoryIndex(spark, path)
+    assert opened.batches == [0, 1, 2, 3] and works_of(opened) == whole
+    with pytest.raises(ValueError):
+        opened.add(2, docs, files)
+
+
+def test_slips_of_rare_words_link_in_long_lists_too(spark, monkeypatch):
+    docs = spark.createDataFrame(history_rows(), "doc_id long, import_batch int, title string, normalized_title string, doi string")
+    files = spark.createDataFrame([], "document_id long, sha256 string")
+    want = {(i, 100 + i) for i in range(12)} | {(200, 300)}
+    for long in (1000, 5):
+        monkeypatch.setattr(history, "LONG", long)
+        assert {(r["first_id"], r["doc_id"]) for r in history.newcomers(docs, files).collect()} == want
+
+
 def test_packing_frames(spark):
     items = spark.createDataFrame([(1, 700), (2, 300), (3, 0), (4, 256), (4, 256), (5, 2500)], "id long, n_tokens long")
     windows = spark.createDataFrame([("small", 256), ("large", 1024), (None, 5)], "window_name string, capacity_tokens int")
