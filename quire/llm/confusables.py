@@ -4,9 +4,10 @@ Method: a confusables skeleton. Decompose the text (NFD), replace every characte
 of its look-alike class, decompose again; originals with equal skeletons look the same.
 
 The prototype table is built from the Unicode character database by rule (wide, narrow, joined and
-compatibility forms stand for the plain characters they are made of, format characters show nothing,
-every space shows as a space) plus two short fixed alphabets of foreign letters. Raised and lowered
-figures, accents, case and line ends are visible and stay.
+compatibility forms stand for the plain characters they are made of, but for an explicit list of letters that a
+reader tells apart and for accents that stand alone; format characters show nothing, every space shows as a
+space) plus fixed alphabets of foreign letters and signs. Raised and lowered figures, accents, case and line ends
+are visible and stay.
 
 Defined results: a null text has a null skeleton and joins no group; text that shows nothing at all
 (empty, or only characters without width and blanks) joins no group; equal stored texts are one class
@@ -29,14 +30,25 @@ from pyspark.sql.types import StringType
 
 from quire.session import cut, spread
 
-# Foreign letters and the Latin letters they look like, position by position.
-CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝ"
-CYRILLIC_AS = "ABESIJKMHOPCTYXaesijopcyxdhqw"
-GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧνο"
-GREEK_AS = "ABEZHIKMNOPTYXvo"
-SIGNS = "µ‐‑․⁄∕"
-SIGNS_AS = "μ--.//"
+# Foreign letters and signs, and what they look like, position by position.
+CYRILLIC = "АВЕЅІЈКМНОРСТУХаеѕіјорсухԁһԛԝҮүѴѵӀӏӔӕԌԜԚ"
+CYRILLIC_AS = "ABESIJKMHOPCTYXaesijopcyxdhqwYyVvIlÆæGWQ"
+GREEK = "ΑΒΕΖΗΙΚΜΝΟΡΤΥΧαινορυϲϹϳͿ"
+GREEK_AS = "ABEZHIKMNOPTYXaivopucCjJ"
+SMALL_K = "κк"  # both show as the small k without an ascender
+ARMENIAN = "ՕօոսհցզՏԼ"
+ARMENIAN_AS = "OonuhgqSL"
+CHEROKEE = "ᎠᎡᎢᎪᎫᎬᎳᎷᎻᏀᏃᏎᏙᏚᏞᏟᏢᏦᏮᎥᏂᏏ"
+CHEROKEE_AS = "DRTAJEWMHGZ4VSLCPK6ihb"
+LISU = "ꓐꓑꓒꓓꓔꓖꓗꓙꓚꓜꓝꓟꓠꓡꓢꓣꓦꓧꓪꓫꓬꓮꓰꓲꓳꓴ"
+LISU_AS = "BPdDTGKJCZFMNLSRVHWXYAEIOU"
+LATIN = "ıɑɡɩʋȷ"
+LATIN_AS = "iagiuj"
+SIGNS = "µ‐‑‒–−﹘․⁄∕‘’‛ʹʼʻˈ′‚∶ꓺ꞉"
+SIGNS_AS = "μ------.//'''''''',:::"
 FOLDED = ("wide", "narrow", "compat", "font", "noBreak", "square")
+# Compatibility letters that a reader tells from the plain ones.
+VISIBLE = "ſϐϑϒϕϖϰϱϴϵ"
 
 
 @lru_cache(maxsize=1)
@@ -54,12 +66,12 @@ def prototypes() -> dict[int, str | None]:
             table[point] = " "
         else:
             parts = unicodedata.decomposition(char)
-            if parts.startswith("<") and parts[1 : parts.index(">")] in FOLDED:
+            if parts.startswith("<") and parts[1 : parts.index(">")] in FOLDED and char not in VISIBLE and "> 0020" not in parts:
                 table[point] = unicodedata.normalize("NFKD", char)
     table[9] = " "
     for char in range(0xE0000, 0xE0200):
         table[char] = None
-    for group, shown in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (SIGNS, SIGNS_AS)):
+    for group, shown in ((CYRILLIC, CYRILLIC_AS), (GREEK, GREEK_AS), (SMALL_K, "ĸĸ"), (ARMENIAN, ARMENIAN_AS), (CHEROKEE, CHEROKEE_AS), (LISU, LISU_AS), (LATIN, LATIN_AS), (SIGNS, SIGNS_AS)):
         table.update({ord(a): b for a, b in zip(group, shown, strict=True)})
     return table
 
