@@ -71,14 +71,22 @@ def shape(line: str) -> str:
     return " ".join(map(_part, WORD.findall(line.lower())))
 
 
-@lru_cache(maxsize=200_000)
-def _token(word: str) -> str:
-    return "#" if word.isdigit() else word if numeric(word) else word.lower()
+class _Tokens(dict):
+    """The token of each word, kept."""
+
+    def __missing__(self, word: str) -> str:
+        token = "#" if word.isdigit() else word if numeric(word) else word.lower()
+        if len(self) < 500_000:
+            self[word] = token
+        return token
+
+
+token = _Tokens().__getitem__
 
 
 def tokens(line: str) -> list[str]:
     """Lower-case words, plain numbers as #; numbers with letters in them keep their case, which tells B from 8."""
-    return [_token(w) for w in WORD.findall(line)]
+    return list(map(token, WORD.findall(line)))
 
 
 def numeric(word: str) -> bool:

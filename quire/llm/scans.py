@@ -35,6 +35,7 @@ from collections.abc import Iterator
 from typing import NamedTuple
 
 import pandas as pd
+import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,7 +53,7 @@ INNER = re.compile(r"[-‐](?=[^\W_])")
 LEFT, RIGHT = re.compile(r"[^\W_]+$"), re.compile(r"[^\W_]+")
 FIRST = re.compile(r"^\W*?([^\W_]+)")
 LONE = re.compile(r"(?<!\S)(?:[^\w\s]|_)(?!\S)")
-PIECE = re.compile(r"[^\W_]+|(?<!\S)(?:[^\w\s]|_)(?!\S)")
+NEAR = 200  # characters between a bracket or quote and its partner
 NUMBER_FORM = re.compile(r"(?:(?:page|p|s|seite|pag|pagina)\b[ .]*)?#(?: (?:of|de|von|/) #)?")
 ROMAN = re.compile(r"[ivxlc1]{1,7}")
 ET_AL = re.compile(r"^\W*(?:[\w]{1,5}\s+)?[^\W\d_]+ et a[l1i]\b\.?(?:\s*$|\s+[-–]\s|\s{2,})", re.I)
@@ -60,7 +61,6 @@ ET_AL = re.compile(r"^\W*(?:[\w]{1,5}\s+)?[^\W\d_]+ et a[l1i]\b\.?(?:\s*$|\s+[-
 PARTNERS = {a: b for x, y in ("«»", "‹›", "()", "[]", "{}", "„“", "“”", "‘’") for a, b in ((x, y), (y, x))}
 FACTS = "kind string, a string, b string, doc long, page int, line int, n long"
 STARTS = 4
-NUMBER = re.compile(r"\b[0-9]{1,4}\b")
 
 
 def _without_broken(text: str) -> str:
@@ -82,41 +82,40 @@ def _compounds(text: str) -> Iterator[tuple[str, str]]:
             yield left.group(), RIGHT.match(text, m.end()).group()
 
 
-def _pieces(text: str) -> tuple[list[str], list[tuple[int, str] | None]]:
-    """The words of a text, and its lone signs: (words before it, sign), or None where the sign has its partner."""
-    words, signs, open_ = [], [], {}
-    for t in PIECE.findall(text):
-        if t[0].isalnum():
-            words.append(channel._token(t))
-            continue
-        signs.append((len(words), t))
-        partner = PARTNERS.get(t)
-        if partner in open_ and len(words) - signs[open_[partner]][0] <= 30:
-            signs[open_.pop(partner)] = signs[-1] = None
-        elif partner:
-            open_[t] = len(signs) - 1
-    return words, signs
-
-
 def _lone(text: str) -> list[tuple[str, str, str, int]]:
     """Each lone sign without a partner, the words before and after it, and its line."""
-    words, signs = _pieces(text)
-    lines = [text.count("\n", 0, m.start()) + 1 for m in LONE.finditer(text)]
-    return [(s[1], words[s[0] - 1] if s[0] else "", words[s[0]] if s[0] < len(words) else "", lines[k]) for k, s in enumerate(signs) if s]
+    signs, open_, line, at = [], {}, 1, 0
+    for m in LONE.finditer(text):
+        line += text.count("\n", at, m.start())
+        at = m.start()
+        signs.append((m.group(), m.start(), line))
+        partner = PARTNERS.get(m.group())
+        if partner in open_ and at - signs[open_[partner]][1] <= NEAR:
+            signs[open_.pop(partner)] = signs[-1] = None
+        elif partner:
+            open_[m.group()] = len(signs) - 1
+    out = []
+    for sign, at, line in filter(None, signs):
+        before, after = WORD.findall(text, max(0, at - NEAR), at), WORD.search(text, at + 1)
+        out.append((sign, channel.token(before[-1]) if before else "", channel.token(after.group()) if after else "", line))
+    return out
 
 
 def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Counts of one task and the edge lines of its pages."""
-    words, numbers, pairs, compounds, inside, signs = (Counter() for _ in range(6))
+    """Counts of one task and the edge lines of its pages (with their shapes' hashes, by which shapes are counted)."""
+    raw, pairs, compounds, inside, signs = (Counter() for _ in range(5))
 
     def counted() -> pd.DataFrame:
+        words = Counter()
+        for w, n in raw.items():
+            words[channel.token(w)] += n
         rows = [("word", w, "", None, None, None, n) for w, n in words.items()]
-        rows += [("number", w, "", None, None, None, n) for w, n in numbers.items()]
+        rows += [("number", w, "", None, None, None, n) for w, n in raw.items() if len(w) <= 4 and w.isdigit()]
         rows += [("pair", a, b, None, None, None, n) for (a, b), n in pairs.items()]
         rows += [("compound", a, b, None, None, None, n) for (a, b), n in compounds.items()]
-        rows += [("inside", s, "", None, None, None, n) for s, n in inside.items()]
+        rows += [("inside", str(s), "", None, None, None, n) for s, n in inside.items()]
         rows += [("sign", s, f"{a} {b}", None, None, None, n) for (s, a, b), n in signs.items()]
-        for c in (words, numbers, pairs, compounds, inside, signs):
+        for c in (raw, pairs, compounds, inside, signs):
             c.clear()
         return pd.DataFrame(rows, columns=["kind", "a", "b", "doc", "page", "line", "n"])
 
@@ -124,27 +123,27 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         edges = []
         for doc, page, text in zip(pdf["doc"], pdf["page"], pdf["text"], strict=True):
             whole = _without_broken(text)
-            run, _ = _pieces(whole)
-            words.update(run)
-            numbers.update(NUMBER.findall(whole))
+            run = WORD.findall(whole)
+            raw.update(run)
+            run = list(map(channel.token, run))
             pairs.update(zip(run, run[1:], strict=False))
             compounds.update(_compounds(text.lower()))
             lines = text.split("\n")
             full = [i for i, x in enumerate(lines) if x.strip()]
             if not full:
                 continue
-            if LONE.search(text):  # page matter, which stands at the edges, has signs of its own
-                edge = {i + 1 for i in (*full[:2], full[-1])}
-                signs.update((t, a, b) for t, a, b, line in _lone(text) if line not in edge)
+            edge = {i + 1 for i in (*full[:2], full[-1])}  # page matter, which stands at the edges, has signs of its own
+            signs.update((t, a, b) for t, a, b, line in _lone(text) if line not in edge)
             widest = max(len(lines[i].strip()) for i in full)
             places = {"top": full[0], "top2": full[1] if len(full) > 2 else None, "bottom": full[-1] if len(full) > 1 else None}
             for zone, i in places.items():
                 if i is not None:
-                    edges.append((zone, shape(lines[i]), _marks(lines[i]), doc, page, i + 1, len(lines[i].strip())))
+                    form = shape(lines[i])
+                    edges.append((zone, form, _marks(lines[i], form), doc, page, i + 1, _hashed(form)))
             for i in full[2:-1]:
                 line = lines[i].strip()
                 if len(line) < 0.6 * widest or line.count(" ") < 4:
-                    inside[shape(line)] += 1
+                    inside[_hashed(shape(line))] += 1
         if edges:
             yield pd.DataFrame(edges, columns=["kind", "a", "b", "doc", "page", "line", "n"])
         if len(pairs) > 300_000:
@@ -152,10 +151,15 @@ def _facts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield counted()
 
 
-def _marks(line: str) -> str:
-    """What a line looks like: r a roman number, p more than one word, e authors with et al."""
+def _hashed(form: str) -> int:
+    return xxhash.xxh3_64_intdigest(form) - (1 << 63)
+
+
+def _marks(line: str, form: str) -> str:
+    """What a line looks like: n a number, r a roman number, p more than one word, e authors with et al., l long enough for a title."""
     bare = re.sub(r"[^\w\s]|_", " ", line).strip().lower()
-    return ("r" if ROMAN.fullmatch(bare) else "") + ("" if re.fullmatch(r"\w+", bare) else "p") + ("e" if ET_AL.match(line) else "")
+    found = ("n", NUMBER_FORM.fullmatch(form)), ("r", ROMAN.fullmatch(bare)), ("p", not re.fullmatch(r"\w+", bare)), ("e", ET_AL.match(line)), ("l", len(form) >= 12)
+    return "".join(mark for mark, yes in found if yes)
 
 
 def facts(pages: DataFrame) -> DataFrame:
@@ -288,45 +292,40 @@ def noise_signs(found: DataFrame, pairs: DataFrame, lexicon: DataFrame, total: i
 
 def furniture(found: DataFrame, titles: DataFrame) -> DataFrame:
     """(doc, page, line) of page matter. ``titles`` is (doc, title, journal)."""
-    edges = found.where(F.col("kind").isin("top", "top2", "bottom")).select("kind", F.col("a").alias("shape"), F.col("b").alias("marks"), "doc", "page", "line").distinct()
-    edges = edges.withColumn("side", F.substring("kind", 1, 3))
-    inside = found.where("kind = 'inside'").groupBy(F.col("a").alias("shape")).agg(F.sum("n").alias("n_inside"))
+    every = found.where("kind in ('top', 'top2', 'bottom')").select("kind", F.col("n").alias("shape"), F.col("a").alias("text"), F.col("b").alias("marks"), "doc", "page", "line")
+    named = _named(every.where("marks like '%l%' and marks not like '%n%'").select("doc", "shape", "text"), titles)
+    edges = cut(every.drop("text").withColumn("side", F.substring("kind", 1, 3)).distinct())
+    inside = found.where("kind = 'inside'").groupBy(F.col("a").cast("long").alias("shape")).agg(F.sum("n").alias("n_inside"))
     within = edges.groupBy("doc", "side", "shape").agg(F.countDistinct("page").alias("n_pages"), F.count("*").alias("n_rows"))
     repeats = F.sum((F.col("n_pages") >= 2).cast("long"))
     over = within.groupBy("shape").agg(F.sum("n_rows").alias("n_edge"), F.countDistinct("doc").alias("n_docs"), repeats.alias("n_repeats"))
     sizes = edges.groupBy("doc").agg(F.countDistinct("page").alias("pages"))
-    known = within.join(over, "shape").join(inside, "shape", "left").join(sizes, "doc")
+    known = within.join(over, "shape").join(inside, "shape", "left").join(sizes, "doc").join(named.withColumn("named", F.lit(True)), ["doc", "shape"], "left")
     keeps = F.col("n_edge") >= 4 * F.coalesce("n_inside", F.lit(0))
     # A running head comes back on a good part of its document's pages; a sentence's beginning does so by chance only.
     again = (F.col("n_pages") >= 2) & (F.col("n_pages") >= 0.15 * F.col("pages"))
     common = (F.col("n_docs") >= 3) & (F.col("n_repeats") >= 0.3 * F.col("n_docs"))
-    known = known.select("doc", "side", "shape", "pages", again.alias("again"), (keeps & (again | common)).alias("running"))
-    judged = edges.join(known, ["doc", "side", "shape"]).join(titles, "doc", "left")
-
-    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for pdf in batches:
-            verdict = []
-            for r in pdf.itertuples(index=False):
-                number = NUMBER_FORM.fullmatch(r.shape) is not None
-                roman = r.side == "bot" and "r" in r.marks
-                if number or roman:
-                    yes = r.again or r.pages == 1 or "p" in r.marks or roman
-                else:
-                    yes = r.running or _named(r.shape, r.title, r.journal) or (r.side == "top" and "e" in r.marks)
-                verdict.append(bool(yes and r.shape))
-            yield pdf.loc[verdict, ["kind", "doc", "page", "line"]]
-
-    found_ = judged.select("kind", "shape", "marks", "side", "doc", "page", "line", "again", "running", "pages", "title", "journal")
-    yes = cut(found_.mapInPandas(judge, "kind string, doc long, page int, line int"))
+    known = known.select("doc", "side", "shape", "pages", again.alias("again"), (keeps & (again | common)).alias("running"), F.coalesce("named", F.lit(False)).alias("named"))
+    judged = edges.join(known, ["doc", "side", "shape"])
+    roman = (F.col("side") == "bot") & F.col("marks").contains("r")
+    number = F.col("again") | (F.col("pages") == 1) | F.col("marks").contains("p") | roman
+    other = F.col("running") | F.col("named") | ((F.col("side") == "top") & F.col("marks").contains("e"))
+    yes = cut(judged.where((F.col("shape") != _hashed("")) & F.when(F.col("marks").contains("n") | roman, number).otherwise(other)).select("kind", "doc", "page", "line"))
     first = yes.where("kind = 'top'").select("doc", "page")
     return yes.where("kind <> 'top2'").unionByName(yes.where("kind = 'top2'").join(first, ["doc", "page"], "left_semi")).select("doc", "page", "line").distinct()
 
 
-def _named(line: str, *names: str | None) -> bool:
-    """Whether a line of this shape gives the title or journal, whole or in part."""
-    line = re.sub(r"^# | #$", "", line)
-    shapes = [shape(n) for n in names if isinstance(n, str)] if len(line) >= 10 else []
-    return any(n.startswith(line) or (len(n) >= 10 and line.startswith(n)) for n in shapes)
+def _named(lines: DataFrame, titles: DataFrame) -> DataFrame:
+    """(doc, shape) of the lines that give their document's title or journal, whole or in part."""
+
+    def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = {(d, shape(n)) for d, *names in zip(pdf["doc"], pdf["title"], pdf["journal"], strict=True) for n in names if isinstance(n, str)}
+            yield pd.DataFrame([r for r in rows if len(r[1]) >= 10], columns=["doc", "name"])
+
+    names = titles.where("doc is not null").select("doc", "title", "journal").mapInPandas(shapes, "doc long, name string")
+    core = F.regexp_replace("text", "^# | #$", "")
+    return lines.join(names, "doc").where(F.col("name").startswith(core) | core.startswith(F.col("name"))).select("doc", "shape").distinct()
 
 
 SEEN = "kind string, doc long, page int, line int, word string, mark string, best string, nexts array<struct<line int, word string>>, lines array<int>"
@@ -393,9 +392,10 @@ def _number(word: str) -> bool:
 def _runs(doc: int, page: int, seq: list[str], where: list[int], halves: set[int], plain: set[str], entries: dict, pairs: dict) -> Iterator[tuple]:
     """The runs of words that are neither plain nor, if doubtful, in company that the corpus knows well."""
     at = []
-    for p, w in enumerate(seq):
-        if w in plain or p in halves:
+    for p in [p for p, w in enumerate(seq) if w not in plain]:
+        if p in halves:
             continue
+        w = seq[p]
         if w in entries and p and p + 1 < len(seq) and (seq[p - 1], w) in pairs and (w, seq[p + 1]) in pairs and p - 1 not in halves and p + 1 not in halves:
             continue
         at.append(p)
@@ -446,13 +446,19 @@ def decoded(runs: DataFrame, tables: Corpus) -> DataFrame:
     def ask(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entries = frequent.value.entries
         for pdf in batches:
-            rows = [(k, w) for k in pdf["key"] for w in (sorted({w for w in k.split("\n")[1].split(" ") if w not in entries}) or [None])]
-            yield pd.DataFrame(rows, columns=["key", "word"])
+            rows = []
+            for k in pdf["key"]:
+                words = {w for w in k.split("\n")[1].split(" ") if w not in entries}
+                rows += [(k, w, len(words)) for w in words] or [(k, None, 0)]
+            yield pd.DataFrame(rows, columns=["key", "word", "words"])
 
-    asked = cut(keys.mapInPandas(ask, "key string, word string"))
+    asked = cut(keys.mapInPandas(ask, "key string, word string, words int"))
     entry = F.struct("word", "n", "doubtful", "readings", "counts", "scores", "doubt")
-    looked = asked.where("word is not null").join(tables.lexicon.drop("alone"), "word", "left").groupBy("key").agg(F.collect_list(entry).alias("looked"))
-    ready = cut(looked.unionByName(asked.where("word is null").select("key", F.expr(f"cast(array() as {LOOKED})").alias("looked"))))
+    looked = asked.where("words > 0").join(tables.lexicon.drop("alone"), "word", "left")
+    one = looked.where("words = 1").select("key", F.array(entry).alias("looked"))
+    more = looked.where("words > 1").groupBy("key").agg(F.collect_list(entry).alias("looked"))
+    none = asked.where("words = 0").select("key", F.expr(f"cast(array() as {LOOKED})").alias("looked"))
+    ready = cut(one.unionByName(more).unionByName(none))
 
     def need(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         entries, pairs, total, _ = frequent.value
@@ -508,31 +514,25 @@ def _told(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def _broken(chosen: DataFrame, tables: Corpus) -> DataFrame:
-    """Judges each broken line end with the word that follows it; rows as FOUND."""
-    place = ["doc", "page", "line", "word", "mark", "next_page", "next_line", "next_word"]
-    whole = chosen.select(*place, F.explode(F.array(F.concat("word", "next_word"), "word", "next_word")).alias("w"))
-    entry = tables.lexicon.select(F.col("word").alias("w"), "n", "alone", (F.size("readings") > 0).alias("other"))
-    seen = whole.distinct().join(entry, "w", "left").groupBy(*place).agg(F.collect_list(F.struct("w", F.coalesce("n", F.lit(0)).alias("n"), F.coalesce("alone", "w").alias("alone"))).alias("seen"))
-
-    def of(word: Column, field: str) -> Column:
-        return F.filter("seen", lambda x: x["w"] == word)[0][field]
-
-    known = cut(
-        seen.withColumn("joined", F.concat("word", "next_word")).select(
-            *place, "joined", of(F.col("joined"), "n").alias("n_joined"), of(F.col("joined"), "alone").alias("best"),
-            of(F.col("word"), "n").alias("n_left"), of(F.col("word"), "alone").alias("left_alone"), of(F.col("next_word"), "n").alias("n_right"), of(F.col("next_word"), "alone").alias("right_alone"),
-        )
-    )
-    either = known.select(*place, F.explode(F.array_distinct(F.array("word", "left_alone"))).alias("a"), F.array_distinct(F.array("next_word", "right_alone")).alias("bs")).withColumn("b", F.explode("bs")).drop("bs")
-    pairs = either.join(tables.compounds, ["a", "b"]).groupBy("doc", "page", "line").agg(F.max("n").alias("as_pair"))
-    return known.join(pairs, ["doc", "page", "line"], "left").mapInPandas(_ends, FOUND)
+    """Judges each broken line end with the word that follows it; rows as FOUND. The words are looked up once for
+    each two halves."""
+    halves = ["word", "next_word"]
+    two = cut(chosen.select(*halves).distinct())
+    roles = F.explode(F.array(*[F.struct(F.lit(role).alias("role"), w.alias("w")) for role, w in (("joined", F.concat(*halves)), ("left", F.col("word")), ("right", F.col("next_word")))])).alias("x")
+    entry = tables.lexicon.select(F.col("word").alias("w"), "n", "alone")
+    seen = two.select(*halves, roles).select(*halves, "x.role", "x.w").join(entry, "w", "left")
+    known = seen.groupBy(*halves).agg(*[F.max(F.when(F.col("role") == r, v)).alias(f"{name}_{r}") for r in ("joined", "left", "right") for name, v in (("n", F.coalesce("n", F.lit(0))), ("alone", F.coalesce("alone", "w")))])
+    known = cut(known)
+    either = known.select(*halves, F.explode(F.array_distinct(F.array("word", "alone_left"))).alias("a"), F.array_distinct(F.array("next_word", "alone_right")).alias("bs")).withColumn("b", F.explode("bs")).drop("bs")
+    pairs = either.join(tables.compounds, ["a", "b"]).groupBy(*halves).agg(F.max("n").alias("as_pair"))
+    return chosen.join(known.join(pairs, halves, "left"), halves).mapInPandas(_ends, FOUND)
 
 
 def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for pdf in batches:
         out = []
         for r in pdf.itertuples(index=False):
-            left, right, joined, best = r.word, r.next_word, r.joined, r.best
+            left, right, joined, best = r.word, r.next_word, r.word + r.next_word, r.alone_joined
             as_pair = 0 if pd.isna(r.as_pair) else r.as_pair
             if r.mark in "¬\xad":
                 hyphen = True
@@ -552,7 +552,7 @@ def _ends(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     if len(joined) - tail > len(left) and (same >= len(left) or len(joined) - tail - same > 2):
                         out.append(("misread", r.doc, r.next_page, r.next_line, joined, best))
             else:
-                for word, alone, page, line in ((left, r.left_alone, r.page, r.line), (right, r.right_alone, r.next_page, r.next_line)):
+                for word, alone, page, line in ((left, r.alone_left, r.page, r.line), (right, r.alone_right, r.next_page, r.next_line)):
                     if alone != word:
                         out.append(("misread", r.doc, page, line, word, alone))
             out.append(("taken", r.doc, r.next_page, r.next_line, right, ""))
