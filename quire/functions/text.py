@@ -89,8 +89,11 @@ def coverage(query: str, col: Column | str) -> Column:
     return F.size(matched(terms, query_terms(col))) / F.lit(float(len(terms)))
 
 
-def window_span(terms: list[str], col: Column | str) -> Column:
-    """Smallest distance between the first and last of a run of distinct tokens that holds every term; null if none."""
+def window_span(terms: list[str], col: Column | str, part: bool = False) -> Column:
+    """Smallest distance between the first and last of a run of distinct tokens that holds every term; null if none.
+
+    With ``part`` it is every term that the text holds at all.
+    """
     tokens = query_terms(col)
 
     def code(x: Column) -> Column:
@@ -100,7 +103,11 @@ def window_span(terms: list[str], col: Column | str) -> Column:
         return out
 
     at = F.filter(F.transform(tokens, lambda x, i: F.struct(code(x).alias("k"), i.cast("int").alias("i"))), lambda p: p["k"] >= 0)
-    start = F.struct(F.array(*[F.lit(-1)] * len(terms)).alias("last"), F.lit(None).cast("int").alias("best"))
+    if part:  # a term that is not there never is the earliest
+        never = [F.when(F.arrays_overlap(tokens, F.array(*[F.lit(f) for f in forms(t)])), F.lit(-1)).otherwise(F.lit(1 << 30)) for t in terms]
+    else:
+        never = [F.lit(-1)] * len(terms)
+    start = F.struct(F.array(*never).alias("last"), F.lit(None).cast("int").alias("best"))
 
     def step(acc: Column, p: Column) -> Column:
         last = F.transform(acc["last"], lambda v, j: F.when(j == p["k"], p["i"]).otherwise(v))
@@ -119,6 +126,34 @@ def within_window(terms: list[str], col: Column | str, window: int = 18) -> Colu
     return F.coalesce(window_span(terms, col) <= window, F.lit(False))
 
 
+def topic_terms(n: int) -> int:
+    """How many of a topic's terms a text must hold."""
+    return n if n <= 2 else max(2, math.ceil(n * 0.75))
+
+
+def topic_matches(topic: str, col: Column | str, window: int = 18) -> Column:
+    """Whether the text holds enough of the topic's terms, and those it holds within ``window`` distinct tokens."""
+    terms = terms_of(topic)
+    if not terms:
+        return F.lit(False)
+    held = F.size(matched(terms, query_terms(col)))
+    if len(terms) == 1:
+        return held == 1
+    return F.when(held >= topic_terms(len(terms)), F.coalesce(window_span(terms, col, part=True) <= window, F.lit(False))).otherwise(F.lit(False))
+
+
+# Fixed value: the headings that end a first page's zone of authors.
+SECTION = r"(?im)^\s*(?:abstract|background|introduction|methods?|results?|key\s+points?|keywords?)\s*:?\s*$"
+
+
+def author_zone(page: Column | str, title: Column | str) -> Column:
+    """What a first page has before its first section, without the title."""
+    text, head = text_of(page), text_of(title)
+    at = F.instr(F.lower(text), F.lower(head))
+    rest = F.when((head != "") & (at > 0), F.concat(F.substr(text, F.lit(1), at - 1), F.lit(" "), F.substr(text, at + F.length(head)))).otherwise(text)
+    return F.get(F.split(rest, SECTION, 2), 0)
+
+
 def folded_numbers(col: Column | str) -> Column:
     """Lower-case text with number words before ``percent`` as figures."""
     out = F.lower(text_of(col))

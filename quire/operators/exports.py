@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.operators import library as L
 
 
 def bibtex(authors: str = "authors", year: str = "publication_year", title: str = "title", journal: str = "journal", doi: str = "doi") -> Column:
@@ -35,7 +36,9 @@ def xfdf_highlight(page: str, quad: str, text: str) -> Column:
     return F.concat(F.lit('<highlight page="'), (F.col(page) - 1).cast("string"), F.lit('" coords="'), coords, F.lit('"><contents>'), T.xml_escape(text), F.lit("</contents></highlight>"))
 
 
-def table_per_group(df: DataFrame, group: str, order: list[str], row: Column, head: str) -> DataFrame:
-    """(group, text): the rows of each group in order, under a head."""
-    rows = df.select(group, F.struct(*[F.col(c) for c in order], row.alias("row_")).alias("r"))
-    return rows.groupBy(group).agg(F.concat(F.lit(head + "\n"), F.array_join(F.transform(F.array_sort(F.collect_list("r")), lambda r: r["row_"]), "\n")).alias("text"))
+def table_lines(df: DataFrame, group: str, order: list[Column], line: str, head: list[str]) -> DataFrame:
+    """(group, line_no, line): the lines of one table per group, under the lines of a head. A group of any size is
+    numbered in parts and never held in one place; write it with ``sortWithinPartitions`` to get the files."""
+    rows = L.positions(df, [group], order).select(group, (F.col("position") + len(head)).cast("long").alias("line_no"), line)
+    heads = df.select(group).distinct().select(group, F.explode(F.array(*[F.struct(F.lit(i).cast("long").alias("line_no"), F.lit(h).alias(line)) for i, h in enumerate(head, 1)])).alias("h"))
+    return rows.unionByName(heads.select(group, "h.*"))

@@ -10,6 +10,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quire.session import cut
+
 
 def contains_any(needle: str, *cols: str) -> Column:
     """Whether one of the columns holds the text, whatever its case."""
@@ -40,6 +42,22 @@ def first_of(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.withColumn("rank_", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("rank_ = 1").drop("rank_")
 
 
+def positions(df: DataFrame, groups: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` with each row's position within its group, from 1; the order must be total.
+
+    Rows are range-partitioned by group and order and numbered inside (group, partition); the partitions' sizes
+    are added up. So a group with a third of all rows spreads over as many partitions as it fills.
+    """
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *[F.col(g) for g in groups], *order).withColumn("part_", F.spark_partition_id()))
+    sizes = ranged.groupBy(*groups, "part_").agg(F.count("*").alias("n_"))
+    before = F.coalesce(F.sum("n_").over(Window.partitionBy(*groups).orderBy("part_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    sizes = sizes.select(*[F.col(g).alias(f"{g}_") for g in groups], F.col("part_").alias("at_"), before.alias("before_"))
+    here = reduce(lambda a, b: a & b, [F.col(g).eqNullSafe(F.col(f"{g}_")) for g in groups], F.col("part_") == F.col("at_"))
+    rank = F.row_number().over(Window.partitionBy(*groups, "part_").orderBy(*order))
+    return ranged.withColumn("rank_", rank).join(sizes, here).withColumn(name, F.col("rank_") + F.col("before_")).select(*df.columns, name)
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows replace existing ones of the same key; an incoming key should occur once."""
     return incoming.select(existing.columns).unionByName(existing.join(incoming.select(*keys).distinct(), keys, "left_anti"))

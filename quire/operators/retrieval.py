@@ -6,10 +6,13 @@ text: one for the statistics (a single row), one for the scores; only the best r
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from quire.functions import text as T
+from quire.session import cut
 
 K1, B = 1.2, 0.75
 
@@ -48,11 +51,36 @@ def bm25(passages: DataFrame, query: str, text_col: str, terms: list[str] | None
     return found.withColumn("score", score).where("score > 0").drop("total_", "mean_", "size_", *[f"n{i}" for i in range(len(terms))], *[f"f{i}" for i in range(len(terms))])
 
 
-def postings(passages: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(term, id, tf, size): an inverted index for many queries; partitioned by term when written with
-    ``repartition('term')``."""
-    tokens = passages.select(F.col(id_col).alias("id"), T.all_terms(text_col).alias("tokens"))
-    return tokens.select("id", F.size("tokens").alias("size"), F.explode("tokens").alias("term")).groupBy("term", "id", "size").agg(F.count("*").alias("tf"))
+def write_index(passages: DataFrame, ids: list[str], text_col: str, path: str) -> str:
+    """An inverted index below ``path``: ``passages`` (row, ids, size) and ``postings`` (term, row, tf), sorted by term
+    over all files, so a query's terms and prefixes reach only the parts that hold them. Repeated rows stay rows."""
+    parts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    cut_up = cut(passages.select(*ids, F.monotonically_increasing_id().alias("row"), T.all_terms(text_col).alias("tokens")))
+    cut_up.select("row", *ids, F.size("tokens").alias("size")).write.parquet(f"{path}/passages")
+    terms = cut_up.select(F.explode("tokens").alias("term"), "row").repartitionByRange(parts, "term", "row").groupBy("term", "row").agg(F.count("*").alias("tf"))
+    terms.sortWithinPartitions("term", "row").write.parquet(f"{path}/postings")
+    return path
+
+
+def bm25_indexed(spark: SparkSession, path: str, query: str, terms: list[str] | None = None) -> DataFrame:
+    """The passages of an index that hold a term of the query, with ``score`` as in :func:`bm25`."""
+    terms = T.terms_of(query) if terms is None else terms
+    passages = spark.read.parquet(f"{path}/passages")
+    if not terms:
+        return passages.drop("row", "size").withColumn("score", F.lit(0.0)).limit(0)
+    tests = [F.col("term").startswith(t) if len(t) >= 4 else F.col("term") == t for t in terms]
+    counts = [f"f{i}" for i in range(len(terms))]
+    held = spark.read.parquet(f"{path}/postings").where(reduce(lambda a, b: a | b, tests))
+    held = held.groupBy("row").agg(*[F.sum(F.when(test, F.col("tf")).otherwise(0)).alias(c) for test, c in zip(tests, counts, strict=True)])
+    held = cut(held)
+    total = passages.agg(F.count("*").alias("total_"), F.avg("size").alias("mean_"))
+    stats = total.crossJoin(held.agg(*[F.sum((F.col(c) > 0).cast("long")).alias(f"n_{c}") for c in counts]))  # one row each
+    found = passages.join(held, "row").join(F.broadcast(stats))  # one row
+    score = F.lit(0.0)
+    for c in counts:
+        weight = F.greatest(F.ln((F.col("total_") - F.col(f"n_{c}") + 0.5) / (F.col(f"n_{c}") + 0.5)), F.lit(1e-6))
+        score = score + weight * F.col(c) * (K1 + 1) / (F.col(c) + K1 * (1 - B + B * F.col("size") / F.col("mean_")))
+    return found.withColumn("score", score).drop("row", "size", "total_", "mean_", *counts, *[f"n_{c}" for c in counts])
 
 
 def best(df: DataFrame, k: int, score: str, *ids: str) -> DataFrame:

@@ -38,12 +38,14 @@ def neighbours(df: DataFrame, queries: DataFrame, k: int = 10, id_col: str = "ve
                 qv, dv = unit([r["v"] for r in q]), unit([r["v"] for r in d])
                 sims = qv @ dv.T
                 sims[qi[:, None] == di[None, :]] = -np.inf
-                out = []
-                for row, query in zip(sims, qi, strict=True):
-                    order = np.lexsort((di, -row))[:k]
-                    order = order[np.isfinite(row[order])]
-                    out.append(pd.DataFrame({"query_id": query, "id": di[order], "similarity": row[order]}))
-                yield pd.concat(out, ignore_index=True)
+                most = min(k, len(di))
+                least = -np.partition(-sims, most - 1, axis=1)[:, most - 1]
+                row, col = np.nonzero((sims >= least[:, None]) & np.isfinite(sims))
+                order = np.lexsort((di[col], -sims[row, col], row))
+                row, col = row[order], col[order]
+                kept = np.arange(len(row)) - np.searchsorted(row, row) < k
+                row, col = row[kept], col[kept]
+                yield pd.DataFrame({"query_id": qi[row], "id": di[col], "similarity": sims[row, col]})
 
     met = left.crossJoin(right).mapInPandas(multiply, "query_id long, id long, similarity double")
     rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("similarity").desc(), "id"))

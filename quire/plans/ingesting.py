@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -11,9 +12,15 @@ from quire.functions import metadata as M
 from quire.functions import text as T
 from quire.operators import exports as E
 from quire.operators import ingest as I
+from quire.operators import library as L
 from quire.session import read
 
 
+# A registrant below 1000 and a PMID of zeros are placeholders.
+DOI = "^10[.]0*[1-9][0-9]{3,}[./]"
+PMID = "^0*[1-9][0-9]*$"
+
+
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents")
 
@@ -24,12 +31,18 @@ def exact_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def identifier_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Newcomers by what their DOI or PMID meets in the accepted history."""
-    docs = _docs(spark, sf_dir).select("doc_id", "import_batch", F.nullif(F.lower("doi"), F.lit("")).alias("doi"), F.nullif("pmid", F.lit("")).alias("pmid"))
+    """Newcomers by what their DOI or PMID meets in the accepted history; placeholders meet nothing."""
+    doi = F.when(F.lower("doi").rlike(DOI), F.lower("doi"))
+    docs = _docs(spark, sf_dir).select("doc_id", "import_batch", doi.alias("doi"), F.when(F.col("pmid").rlike(PMID), F.col("pmid")).alias("pmid"))
     old, new = docs.where("import_batch = 0"), docs.where("import_batch >= 1").select("doc_id", "doi", "pmid")
-    hits = [new.join(old.select(key, F.col("doc_id").alias("old_id")), key).select("doc_id", "old_id") for key in ("doi", "pmid")]
-    n = hits[0].union(hits[1]).distinct().groupBy("doc_id").agg(F.count("*").alias("n_matches"), F.min("old_id").alias("first_id"))
-    return new.join(n, "doc_id", "left").select("doc_id", F.coalesce("n_matches", F.lit(0).cast("long")).alias("n_matches"), "first_id", I.match_state(F.col("n_matches")).alias("state"))
+    # Old records are counted per key before they are met, so a key of many records costs one row.
+    met = new
+    for name, keys in (("d", ["doi"]), ("p", ["pmid"]), ("b", ["doi", "pmid"])):
+        per = old.dropna(subset=keys).groupBy(*keys).agg(F.count_distinct("doc_id").alias(f"n_{name}"), F.min("doc_id").alias(f"first_{name}"))
+        met = met.join(per, keys, "left")
+    zero = F.lit(0).cast("long")
+    n = F.coalesce("n_d", zero) + F.coalesce("n_p", zero) - F.coalesce("n_b", zero)
+    return met.select("doc_id", n.alias("n_matches"), F.least("first_d", "first_p").alias("first_id"), I.match_state(n).alias("state"))
 
 
 def title_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -155,9 +168,9 @@ def ris_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def markdown_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One Markdown table of titles per journal, newest first."""
-    docs = _docs(spark, sf_dir).where("deleted_at is null and journal is not null").withColumn("newest", -F.coalesce("publication_year", F.lit(0)))
-    return E.table_per_group(docs, "journal", ["newest", "doc_id"], E.markdown_row("publication_year", "title", "source_type"), "| year | title | type |\n| --- | --- | --- |")
+    """The lines of one Markdown table of titles per journal, newest first, with their numbers."""
+    docs = _docs(spark, sf_dir).where("deleted_at is null and journal is not null").select("journal", "doc_id", F.coalesce("publication_year", F.lit(0)).alias("year"), E.markdown_row("publication_year", "title", "source_type").alias("line"))
+    return E.table_lines(docs, "journal", [F.col("year").desc(), F.col("doc_id").asc()], "line", ["| year | title | type |", "| --- | --- | --- |"])
 
 
 def csv_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -182,7 +195,15 @@ def size_medians(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Median size and spread of files per kind and role, and the default of each role (join on a constant)."""
     files = read(spark, sf_dir, "document_files")
     roles = files.select("file_role").distinct()
-    kinds = files.groupBy("source_kind", "file_role").agg(F.median("size_bytes").alias("median_bytes"), F.round(F.stddev_samp("size_bytes"), 3).alias("spread"), F.count("*").alias("n"))
+    keys = ["source_kind", "file_role"]
+    kinds = files.groupBy(*keys).agg(F.round(F.stddev_samp("size_bytes"), 3).alias("spread"), F.count("*").alias("n"), F.count("size_bytes").alias("sized_"))
+    # The middle rows by position: no group's sizes are held in one place.
+    placed = L.positions(files.where("size_bytes is not null").select(*keys, "size_bytes", F.monotonically_increasing_id().alias("row_")), keys, [F.col("size_bytes").asc(), F.col("row_").asc()])
+    same = reduce(lambda a, b: a & b, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    middle = placed.select(*[F.col(k).alias(f"{k}_") for k in keys], "size_bytes", "position")
+    at = F.col("position").isin(F.floor((F.col("sized_") + 1) / 2), F.ceil((F.col("sized_") + 1) / 2))
+    medians = kinds.join(middle, same, "left").groupBy(*keys, "spread", "n").agg(F.avg(F.when(at, F.col("size_bytes"))).alias("median_bytes"))
+    kinds = medians.select(*keys, "median_bytes", "spread", "n")
     default = files.groupBy("source_kind").agg(F.max("size_bytes").alias("largest")).where("source_kind = 'legacy'").select("largest")
     return kinds.join(roles, "file_role", "left_semi").join(F.broadcast(default))
 
@@ -212,8 +233,8 @@ def oracle_sql() -> dict[str, str]:
     compact = "trim(regexp_replace(coalesce(title, ''), '[\\s\\p{Z}]+', ' ', 'g'))"
     return {
         "exact_duplicates": "SELECT sha256(text) AS digest, min(doc_id) AS first_id, count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY 1 HAVING count(*) > 1",
-        "identifier_matches": """WITH o AS (SELECT doc_id, nullif(lower(doi), '') AS doi, nullif(pmid, '') AS pmid FROM documents WHERE import_batch = 0),
-  w AS (SELECT doc_id, nullif(lower(doi), '') AS doi, nullif(pmid, '') AS pmid FROM documents WHERE import_batch >= 1),
+        "identifier_matches": """WITH k AS (SELECT doc_id, import_batch, CASE WHEN regexp_matches(lower(doi), '""" + DOI + """') THEN lower(doi) END AS doi, CASE WHEN regexp_matches(pmid, '""" + PMID + """') THEN pmid END AS pmid FROM documents),
+  o AS (SELECT * FROM k WHERE import_batch = 0), w AS (SELECT * FROM k WHERE import_batch >= 1),
   h AS (SELECT w.doc_id, o.doc_id AS old_id FROM w JOIN o ON o.doi = w.doi UNION SELECT w.doc_id, o.doc_id FROM w JOIN o ON o.pmid = w.pmid),
   n AS (SELECT doc_id, count(*) AS n_matches, min(old_id) AS first_id FROM h GROUP BY 1)
 SELECT w.doc_id, coalesce(n_matches, 0) AS n_matches, first_id, CASE WHEN n_matches = 1 THEN 'version' WHEN n_matches > 1 THEN 'conflict' ELSE 'new' END AS state FROM w LEFT JOIN n USING (doc_id)""",
@@ -237,6 +258,14 @@ SELECT document_id, line, count(*) AS n_pages FROM s JOIN p USING (document_id)
         "page_blocks": """WITH l AS (SELECT DISTINCT document_id, page_number, width, height, unnest(range(0, len(string_split(text, chr(10))))) AS at_, unnest(string_split(text, chr(10))) AS line FROM document_pages),
   b AS (SELECT *, least(greatest(36.0, 0), width) AS x0, least(length(line) * 8.0 + 36.0, width) AS x1, least(at_ * 28.0 + 36.0, height) AS y0, least(at_ * 28.0 + 62.0, height) AS y1 FROM l)
 SELECT document_id, count(*) AS n_blocks, round(CAST(sum(CAST((x1 - x0) AS DOUBLE) * (y1 - y0)) AS DOUBLE), 2) AS area FROM b WHERE x1 > x0 AND y1 > y0 GROUP BY document_id""",
+        "block_order": """WITH l AS (SELECT DISTINCT document_id, page_number, width, unnest(range(0, len(string_split(text, chr(10))))) AS at_, unnest(string_split(text, chr(10))) AS line FROM document_pages),
+  g AS (SELECT *, length(line) > 70 AS long_, at_ % 2 = 1 AS odd_ FROM l),
+  x AS (SELECT *, CASE WHEN odd_ AND NOT long_ THEN width * 0.52::DOUBLE ELSE width * 0.05::DOUBLE END AS x0, CASE WHEN long_ THEN at_ * 12.0::DOUBLE ELSE (at_ // 2) * 24.0::DOUBLE END AS y0 FROM g),
+  b AS (SELECT *, CASE WHEN long_ THEN width * 0.95::DOUBLE ELSE x0 + width * 0.4::DOUBLE END AS x1, y0 + 10 AS y1 FROM x),
+  k AS (SELECT *, x1 - x0 >= 0.66::DOUBLE * width AS wide, (x0 + x1) / 2 < width / 2 AS lft FROM b),
+  m AS (SELECT *, sum(CAST(wide AS INT)) OVER (PARTITION BY document_id, page_number ORDER BY y0, x0, x1, y1) AS band FROM k),
+  t AS (SELECT *, sum(CAST(NOT wide AND lft AS INT)) OVER w >= 2 AND sum(CAST(NOT wide AND NOT lft AS INT)) OVER w >= 2 AS two FROM m WINDOW w AS (PARTITION BY document_id, page_number, band))
+SELECT document_id, page_number, CAST(at_ AS INT) AS "at", CAST(row_number() OVER (PARTITION BY document_id, page_number ORDER BY band, CASE WHEN wide THEN -1 WHEN two AND NOT lft THEN 1 ELSE 0 END, y0, x0, x1, y1) AS INT) AS position FROM t""",
         "inferred_metadata": f"""SELECT doc_id, regexp_replace(regexp_extract(lower(substr(coalesce(text, ''), 1, 6000)), '(?:doi\\.org/|doi:?\\s*)(10\\.[0-9]{{4,9}}/\\S+)', 1), '[.,;)\\]}}]+$', '') AS doi_in_text,
   regexp_extract(substr(coalesce(text, ''), 1, 6000), '(?i)\\bPMID:?\\s*([0-9]{{5,9}})\\b', 1) AS pmid_in_text, CAST(regexp_extract_all(coalesce(text, ''), '\\b((?:19|20)[0-9]{{2}})\\b', 1)[1] AS INT) AS first_year, {_type_rule()} AS inferred_type,
   length(trim(coalesce(title, ''))) >= 8 AND length(regexp_replace(trim(coalesce(title, '')), '[^\\p{{L}}]', '', 'g')) >= 0.5 * length(trim(coalesce(title, '')))
@@ -255,8 +284,9 @@ SELECT doc_id, '@article{{' || {key} || ',' || chr(10) || array_to_string(list_f
         "ris_records": f"""WITH a AS (SELECT *, {AUTHORS} AS au FROM documents)
 SELECT doc_id, array_to_string(list_concat(['TY  - JOUR'], list_concat(list_transform(au, lambda x: 'AU  - ' || x), list_concat(list_filter([CASE WHEN coalesce(title, '') <> '' THEN 'TI  - ' || {flat.format('title')} END,
   CASE WHEN coalesce(journal, '') <> '' THEN 'JO  - ' || {flat.format('journal')} END, CASE WHEN publication_year IS NOT NULL THEN 'PY  - ' || publication_year END, CASE WHEN coalesce(doi, '') <> '' THEN 'DO  - ' || {flat.format('doi')} END], lambda x: x IS NOT NULL), ['ER  - ']))), chr(10)) AS record FROM a""",
-        "markdown_tables": f"""SELECT journal, '| year | title | type |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg('| ' || {cell.format('publication_year')} || ' | ' || {cell.format('title')} || ' | ' || {cell.format('source_type')} || ' |', chr(10) ORDER BY coalesce(publication_year, 0) DESC, doc_id) AS text
-FROM documents WHERE deleted_at IS NULL AND journal IS NOT NULL GROUP BY journal""",
+        "markdown_tables": f"""WITH d AS (SELECT * FROM documents WHERE deleted_at IS NULL AND journal IS NOT NULL)
+SELECT DISTINCT journal, CAST(1 AS BIGINT) AS line_no, '| year | title | type |' AS line FROM d UNION ALL SELECT DISTINCT journal, 2, '| --- | --- | --- |' FROM d UNION ALL
+SELECT journal, 2 + row_number() OVER (PARTITION BY journal ORDER BY coalesce(publication_year, 0) DESC, doc_id), '| ' || {cell.format('publication_year')} || ' | ' || {cell.format('title')} || ' | ' || {cell.format('source_type')} || ' |' FROM d""",
         "hash_embedding": f"""WITH t AS (SELECT doc_id, list_filter(regexp_extract_all(lower(coalesce(title, '')), '[a-z0-9][a-z0-9''\\-]{{1,}}'), lambda x: NOT list_contains({[*T.STOPWORDS]}, x)) AS w FROM documents),
   g AS (SELECT doc_id, unnest(w) AS gram FROM t UNION ALL SELECT doc_id, unnest(list_transform(range(1, greatest(len(w), 1)), lambda i: w[i] || ' ' || w[i + 1])) FROM t),
   c AS (SELECT doc_id, CAST(('0x' || substr(md5(gram), 1, 4)) AS INT) % 512 AS place, count(*) AS n FROM g GROUP BY 1, 2)

@@ -82,8 +82,9 @@ def status_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def ranked_status_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Positions of each project's documents: by status rank, then year, then title whatever its case."""
     rank = F.when(F.col("reading_status") == "reading", 0).when(F.col("reading_status") == "unread", 1).when(F.col("reading_status") == "read", 2).otherwise(3)
-    w = Window.partitionBy("source").orderBy(rank, F.col("publication_year").desc_nulls_last(), F.lower(F.coalesce("title", F.lit(""))), "doc_id")
-    return _docs(spark, sf_dir).where("deleted_at is null").select("source", "doc_id", F.row_number().over(w).alias("position"))
+    rows = _docs(spark, sf_dir).where("deleted_at is null").select("source", "doc_id", rank.alias("rank"), "publication_year", F.lower(F.coalesce("title", F.lit(""))).alias("low"))
+    placed = L.positions(rows, ["source"], [F.col("rank").asc(), F.col("publication_year").desc_nulls_last(), F.col("low").asc(), F.col("doc_id").asc()])
+    return placed.select("source", "doc_id", F.col("position").cast("int").alias("position"))
 
 
 def primary_file(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -9,13 +9,14 @@ from pyspark.sql import functions as F
 
 from quire.functions import text as T
 from quire.operators import retrieval, vectors
-from quire.session import read, spread
+from quire.session import read, scratch_dir, spread
 
 QUESTION = "hospital readmission after cognitive behavioural therapy"
 TOPIC = "intravenous iron epilepsy"
 TWO_TERMS = "awake proning"
 NUMBERS = "study with around 200 patients and five percent severe bleeding"
 AUTHOR = "Robert"
+SUBJECT = "respiratory intensive care units"
 
 
 def _pages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -26,8 +27,19 @@ def _active(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").where("deleted_at is null")
 
 
+INDEXES: dict[tuple[str, str], str] = {}
+
+
+def page_index(spark: SparkSession, sf_dir: str) -> str:
+    """The full-text index of a directory's pages, built by the session's first query that needs it."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in INDEXES:
+        INDEXES[key] = retrieval.write_index(_pages(spark, sf_dir), ["document_id", "page_number"], "text", scratch_dir(spark))
+    return INDEXES[key]
+
+
 def _page_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    scored = retrieval.bm25(_pages(spark, sf_dir), QUESTION, "text").select("document_id", "page_number", F.round("score", 6).alias("score"))
+    scored = retrieval.bm25_indexed(spark, page_index(spark, sf_dir), QUESTION).select("document_id", "page_number", F.round("score", 6).alias("score"))
     return scored.distinct()
 
 
@@ -160,11 +172,12 @@ def related_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def author_search(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Documents of an author: by the author list, and by the first page's beginning."""
+    """Documents of an author: by the author list, and by the first page's zone of authors."""
     name = AUTHOR.lower()
     docs = _active(spark, sf_dir).select("doc_id", "title", "authors")
     listed = F.lower(T.text_of("authors")).contains(name)
-    first = _pages(spark, sf_dir).where("page_number = 1").select(F.col("document_id").alias("doc_id"), F.lower(F.substring(T.text_of("text"), 1, 5000)).contains(name).cast("int").alias("on_page")).groupBy("doc_id").agg(F.max("on_page").alias("on_page"))
+    pages = _pages(spark, sf_dir).where("page_number = 1").select(F.col("document_id").alias("doc_id"), "text").join(docs.select("doc_id", "title"), "doc_id")
+    first = pages.groupBy("doc_id").agg(F.max(F.lower(T.author_zone("text", "title")).contains(name).cast("int")).alias("on_page"))
     exact = F.exists(T.author_list("authors"), lambda a: F.lower(a) == name)
     scored = docs.join(first, "doc_id", "left").select("doc_id", "title", (3 * listed.cast("int") + 2 * F.coalesce("on_page", F.lit(0)) + 0.5 * exact.cast("int")).cast("double").alias("score"))
     return scored.where("score > 0")
@@ -206,15 +219,29 @@ def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
 def size_percentiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Nearest-rank median and 95th percentile of text length per source type, index rounded half to even."""
     docs = read(spark, sf_dir, "documents").where("n_chars is not null").select(F.coalesce("source_type", F.lit("")).alias("source_type"), "n_chars")
-    w = Window.partitionBy("source_type").orderBy("n_chars")
-    ranked = docs.withColumn("at", F.row_number().over(w) - 1).withColumn("last", F.count("*").over(Window.partitionBy("source_type")) - 1)
-    pick = lambda q, name: F.max(F.when(F.col("at") == F.bround(F.col("last") * q, 0).cast("long"), F.col("n_chars"))).alias(name)
-    return ranked.groupBy("source_type").agg(pick(0.5, "p50"), pick(0.95, "p95"), F.count("*").alias("n"))
+    # Lengths are counted first, so what a type sorts is its distinct lengths.
+    counted = docs.groupBy("source_type", "n_chars").agg(F.count("*").alias("k"))
+    w = Window.partitionBy("source_type")
+    upto = counted.withColumn("upto", F.sum("k").over(w.orderBy("n_chars"))).withColumn("n", F.sum("k").over(w))
+    pick = lambda q, name: F.min(F.when(F.col("upto") > F.bround((F.col("n") - 1) * q, 0), F.col("n_chars"))).alias(name)
+    return upto.groupBy("source_type").agg(pick(0.5, "p50"), pick(0.95, "p95"), F.max("n").alias("n"))
+
+
+def topic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that are about a topic: by title, by title and abstract, or by their substantive pages."""
+    docs = _active(spark, sf_dir).select(F.col("doc_id").alias("document_id"), "title", "abstract")
+    both = F.concat_ws(" ", T.text_of("title"), T.text_of("abstract"))
+    told = T.topic_matches(SUBJECT, "title", 12) | (F.length(T.text_of("abstract")) > 0) & ~T.is_incidental("abstract") & T.topic_matches(SUBJECT, both, 28)
+    pages = _pages(spark, sf_dir).where(T.topic_matches(SUBJECT, "text", 18) & ~T.is_incidental("text"))
+    met = pages.groupBy("document_id").agg(F.count_distinct("page_number").alias("n_pages"), F.min("page_number").alias("first_page"))
+    joined = docs.withColumn("told", told).join(met, "document_id", "left").withColumn("n_pages", F.coalesce("n_pages", F.lit(0).cast("long")))
+    deep = (F.col("n_pages") >= 2) | (F.coalesce(F.col("first_page") <= 2, F.lit(False)) & F.lit(len(T.terms_of(SUBJECT)) >= 2))
+    return joined.where(F.col("told") | deep).select("document_id", "told", "n_pages")
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    own = (bm25_passages, fts_documents, bm25_available, query_terms_stats, fts_query_strings, term_coverage, lexical_evidence, numeric_closeness, passage_kinds, snippets, snippet_provenance, title_intents, metadata_scores, rrf_documents, hybrid_passages, hybrid_documents, related_documents, author_search, document_lookup, vector_topk, vector_qualified, nearest_label, size_percentiles)
+    own = (bm25_passages, fts_documents, bm25_available, query_terms_stats, fts_query_strings, term_coverage, lexical_evidence, numeric_closeness, passage_kinds, snippets, snippet_provenance, title_intents, metadata_scores, rrf_documents, hybrid_passages, hybrid_documents, related_documents, author_search, topic_documents, document_lookup, vector_topk, vector_qualified, nearest_label, size_percentiles)
     return {f.__name__: f for f in own}
 
 
@@ -269,6 +296,44 @@ def _metadata(query: str) -> str:
     )
 
 
+def _span(terms: list[str], tokens: str) -> str:
+    """The smallest distance between tokens of all those terms that occur; one token of each."""
+    names = [f"p{i}" for i in range(len(terms))]
+    inner = f"greatest({', '.join(names)}) - least({', '.join(names)})"
+    for name, term in reversed(list(zip(names, terms, strict=True))):
+        places = f"list_filter(range(1, len({tokens}) + 1), lambda i: list_contains({_strings(T.forms(term))}, {tokens}[i]))"
+        inner = f"list_min(list_transform(CASE WHEN len({places}) = 0 THEN [NULL] ELSE {places} END, lambda {name}: {inner}))"
+    return inner
+
+
+def _topic(query: str, tokens: str, window: int) -> str:
+    terms = T.terms_of(query)
+    n = " + ".join(f"CAST(list_has_any({tokens}, {_strings(T.forms(t))}) AS INT)" for t in terms)
+    return f"(({n}) >= {T.topic_terms(len(terms))} AND {_span(terms, tokens)} <= {window})"
+
+
+def _incidental(col: str) -> str:
+    low, flat = f"lower(coalesce({col}, ''))", f"regexp_replace(lower(coalesce({col}, '')), '\\s+', ' ', 'g')"
+    reference = f"""regexp_matches(substr({low}, 1, 1800), '(?:^|\\n)\\s*(?:references|bibliography|literature cited)\\s*(?:\\n|$)')
+    OR (len(regexp_extract_all({flat}, '\\b(?:19|20)\\d{{2}}\\b')) >= 3 AND (len(regexp_extract_all({low}, '(?:^|\\n)\\s*(?:\\[\\d+\\]|\\d{{1,3}}\\.)\\s*')) >= 2
+      OR len(regexp_extract_all({flat}, '\\b\\d{{4}}\\s*;\\s*\\d{{1,4}}(?:\\s*\\(\\s*\\d+\\s*\\))?\\s*:\\s*\\d+')) >= 2
+      OR (len(regexp_extract_all({flat}, '\\bet\\s+al\\b')) >= 2 AND len(regexp_extract_all({flat}, '\\b(?:chest|thorax|respir(?:ation|atory)|bronchol|eur respir j|am j respir|j thorac|lung)\\b')) >= 2)))"""
+    return f"({reference} OR {' OR '.join(f'contains({flat}, {chr(39)}{m}{chr(39)})' for m in T.BACK_MATTER + T.VOLUME_MARKERS)})"
+
+
+def _numbers(query_percentages: list[float], query_numbers: list[float]) -> str:
+    """CTEs ending in ``found`` (doc_id, ps, ns, bonus). Each run of figures and points gets a mark before it, which does for the look-behind."""
+    text = "lower(coalesce(abstract, ''))"
+    for word, n in T.NUMBER_WORDS.items():
+        text = f"regexp_replace({text}, '\\b{word}\\s+(percent\\b)', '{n} \\1', 'g')"
+    percent, number = "\\x01(\\d+(?:\\.\\d+)?)\\s*(?:%|percent\\b)", "\\x01(\\d+(?:\\.\\d+)?)(?:[^\\d.]|$)"
+    close = [f"coalesce(list_max(list_transform({ls}, lambda c: CASE WHEN c = 0 THEN 0.0::DOUBLE ELSE exp(-0.9::DOUBLE * abs(ln(c / {v}::DOUBLE))) END)), 0)" for ls, vs in (("ps", query_percentages), ("ns", query_numbers)) for v in vs]
+    return f"""m AS (SELECT doc_id, regexp_replace({text}, '([0-9.]+)', chr(1) || '\\1', 'g') AS t FROM documents),
+  l AS (SELECT doc_id, list_transform(regexp_extract_all(t, '{percent}', 1), lambda x: CAST(x AS DOUBLE)) AS ps,
+    list_filter(list_transform(regexp_extract_all(regexp_replace(t, '{percent}', ' ', 'g'), '{number}', 1), lambda x: CAST(x AS DOUBLE)), lambda x: NOT (x BETWEEN 1900 AND 2100 AND x = floor(x))) AS ns FROM m),
+  found AS (SELECT *, ({' + '.join(close)}) / {len(close)} AS bonus FROM l)"""
+
+
 def _snippet() -> str:
     places = ", ".join(f"nullif(instr(lower(b), '{t}'), 0)" for t in T.terms_of(QUESTION))
     return f"""WITH b AS (SELECT doc_id, lang, text, regexp_replace(regexp_replace(text, '^[\\s\\p{{Z}}]+', ''), '[\\s\\p{{Z}}]+$', '') AS b FROM documents WHERE text IS NOT NULL),
@@ -299,6 +364,14 @@ FROM p JOIN documents d ON d.doc_id = p.document_id AND d.deleted_at IS NULL WHE
         "query_terms_stats": f"SELECT doc_id, CAST(len({_distinct('abstract')}) AS INT) AS n_terms, CAST(len({_content('abstract')}) AS INT) AS n_content, coalesce({_content('abstract')}[1], '') AS first_term FROM documents",
         "fts_query_strings": f"""SELECT doc_id, CASE WHEN len({_terms('title')}) = 0 THEN '""' ELSE array_to_string(list_transform({_distinct('title')}[1:24], lambda x: '"' || x || '"' || CASE WHEN length(x) >= 4 THEN '*' ELSE '' END), ' OR ') END AS fts_query FROM documents""",
         "term_coverage": f"SELECT doc_id, coverage FROM (SELECT doc_id, round({_coverage(QUESTION, both)}, 6) AS coverage FROM documents) WHERE coverage > 0",
+        "numeric_closeness": f"WITH {_numbers([5.0], [200.0])} SELECT doc_id, CAST(len(ps) AS INT) AS n_percentages, CAST(len(ns) AS INT) AS n_numbers, round(bonus, 6) AS bonus FROM found WHERE len(ps) + len(ns) > 0",
+        "lexical_evidence": f"""WITH t AS (SELECT doc_id, {_distinct(both)} AS tok FROM documents), m AS (SELECT *, {" + ".join(f"CAST(list_has_any(tok, {_strings(T.forms(t))}) AS INT)" for t in T.terms_of(TWO_TERMS))} AS n FROM t)
+SELECT doc_id, n = 2 AND {_span(T.terms_of(TWO_TERMS), 'tok')} <= 12 AS evident, CAST(n AS INT) AS n_matched FROM m WHERE n > 0""",
+        "topic_documents": f"""WITH d AS (SELECT doc_id AS document_id, abstract, {_distinct('title')} AS a, {_distinct(both)} AS b FROM documents WHERE deleted_at IS NULL),
+  q AS (SELECT document_id, page_number, text, {_distinct('text')} AS tok FROM document_pages WHERE {" OR ".join(f"contains(lower(text), '{t[:-1]}')" for t in T.terms_of(SUBJECT))}),
+  p AS (SELECT document_id, count(DISTINCT page_number) AS n_pages, min(page_number) AS first_page FROM q WHERE {_topic(SUBJECT, 'tok', 18)} AND NOT {_incidental('text')} GROUP BY 1),
+  j AS (SELECT d.document_id, coalesce({_topic(SUBJECT, 'a', 12)} OR (coalesce(abstract, '') <> '' AND NOT {_incidental('abstract')} AND {_topic(SUBJECT, 'b', 28)}), false) AS told, coalesce(n_pages, 0) AS n_pages, first_page FROM d LEFT JOIN p USING (document_id))
+SELECT document_id, told, n_pages FROM j WHERE told OR n_pages >= 2 OR coalesce(first_page <= 2, false)""",
         "passage_kinds": f"""WITH x AS (SELECT doc_id, lower(coalesce(text, '')) AS l, {FLAT} AS f FROM documents),
   y AS (SELECT *, regexp_matches(substr(l, 1, 1800), '(?:^|\\n)\\s*(?:references|bibliography|literature cited)\\s*(?:\\n|$)')
     OR (len(regexp_extract_all(f, '\\b(?:19|20)\\d{{2}}\\b')) >= 3 AND (len(regexp_extract_all(l, '(?:^|\\n)\\s*(?:\\[\\d+\\]|\\d{{1,3}}\\.)\\s*')) >= 2
@@ -323,7 +396,9 @@ SELECT doc_id, r AS is_reference, ({' OR '.join(f"contains(f, '{m}')" for m in T
   g AS (SELECT doc_id, round(sum(gain), 9) AS fused FROM (SELECT * FROM a UNION ALL SELECT * FROM b UNION ALL SELECT * FROM e) GROUP BY doc_id),
   h AS (SELECT *, row_number() OVER (ORDER BY fused DESC, doc_id) AS rank FROM g)
 SELECT h.doc_id, fused, rank, title FROM h JOIN documents USING (doc_id) WHERE rank <= 20""",
-        "author_search": f"""WITH f AS (SELECT document_id AS doc_id, max(CAST(contains(lower(substr(coalesce(text, ''), 1, 5000)), '{AUTHOR.lower()}') AS INT)) AS on_page FROM document_pages WHERE page_number = 1 GROUP BY 1),
+        "author_search": f"""WITH z AS (SELECT document_id AS doc_id, coalesce(p.text, '') AS t, coalesce(title, '') AS h, instr(lower(coalesce(p.text, '')), lower(coalesce(title, ''))) AS at_ FROM document_pages p JOIN documents ON doc_id = document_id WHERE page_number = 1 AND deleted_at IS NULL),
+  y AS (SELECT doc_id, regexp_split_to_array(CASE WHEN h <> '' AND at_ > 0 THEN substr(t, 1, at_ - 1) || ' ' || substr(t, at_ + length(h)) ELSE t END, '{T.SECTION}')[1] AS zone FROM z),
+  f AS (SELECT doc_id, max(CAST(contains(lower(zone), '{AUTHOR.lower()}') AS INT)) AS on_page FROM y GROUP BY 1),
   s AS (SELECT d.doc_id, title, CAST(3 * CAST(contains(lower(coalesce(authors, '')), '{AUTHOR.lower()}') AS INT) + 2 * coalesce(on_page, 0)
     + 0.5 * CAST(len(list_filter(regexp_split_to_array(coalesce(authors, ''), '\\s*;\\s*|\\s+and\\s+'), lambda x: lower(trim(x)) = '{AUTHOR.lower()}')) > 0 AS INT) AS DOUBLE) AS score
     FROM documents d LEFT JOIN f USING (doc_id) WHERE deleted_at IS NULL)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -33,11 +34,13 @@ def scratch_dir(spark: SparkSession) -> str:
     """A new, unique folder below the shared checkpoint folder.
 
     ``spark.checkpoint.dir`` decides when the session has it (all executors see that folder);
-    only where it is unset, as in tests, a folder of this machine is taken.
+    only where it is unset and the session is local, as in tests, a folder of this machine is taken.
     """
     context = spark.sparkContext
     base = context.getCheckpointDir() or spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", context.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
         base = tempfile.mkdtemp(prefix="quire-checkpoint-")
         context.setCheckpointDir(base)
         base = context.getCheckpointDir()

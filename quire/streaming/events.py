@@ -30,29 +30,25 @@ def run(stream: DataFrame, folder: str | None = None, mode: str = "append") -> D
     return spark.read.schema(stream.schema).parquet(f"{folder}/out")
 
 
-def run_batches(stream: DataFrame, handle, folder: str | None = None) -> None:
+def run_batches(stream: DataFrame, handle, folder: str | None = None, mode: str = "append") -> None:
     """Drain a stream through ``handle(batch, number)``; a replayed batch has the same number."""
     folder = folder or scratch_dir(stream.sparkSession)
-    stream.writeStream.foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
+    stream.writeStream.outputMode(mode).foreachBatch(handle).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True).start().awaitTermination()
 
 
 def latest_states(stream: DataFrame, key: str, at: str, order: str, value: str, folder: str | None = None) -> DataFrame:
-    """(key, value, n): the last value of each key; every batch is merged into the state of the one before."""
+    """(key, value, n): the last value of each key. The state store holds each key's last row; a batch writes the
+    keys that it changes, under its own number, and of a key's rows the one with most events counts."""
     spark = stream.sparkSession
     folder = folder or scratch_dir(spark)
-    cols = f"{key} {dict(stream.dtypes)[key]}, {at} timestamp, {order} {dict(stream.dtypes)[order]}, {value} string, n bigint"
-
-    def merge(batch: DataFrame, number: int) -> None:
-        fresh = batch.groupBy(key).agg(F.max(F.struct(at, order, value)).alias("s"), F.count("*").alias("n")).select(key, "s.*", "n")
-        if number:
-            fresh = fresh.unionByName(spark.read.schema(cols).parquet(f"{folder}/state/{number - 1}"))
-        best = fresh.groupBy(key).agg(F.max(F.struct(at, order, value)).alias("s"), F.sum("n").alias("n"))
-        best.select(key, "s.*", "n").write.mode("overwrite").parquet(f"{folder}/state/{number}")
-        spark.createDataFrame([(number,)], "last int").coalesce(1).write.mode("overwrite").parquet(f"{folder}/last")
-
-    run_batches(stream, merge, folder)
-    last = spark.read.schema("last int").parquet(f"{folder}/last").first()[0]
-    return spark.read.schema(cols).parquet(f"{folder}/state/{last}").select(key, value, "n")
+    last = stream.groupBy(key).agg(F.max(F.struct(at, order, value)).alias("s"), F.count("*").alias("n")).select(key, F.col(f"s.{value}").alias(value), "n")
+
+    def changed(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/changes/{number}")
+
+    run_batches(last, changed, folder, "update")
+    rows = spark.read.schema(last.schema).parquet(f"{folder}/changes/*")
+    return rows.groupBy(key).agg(F.max_by(value, "n").alias(value), F.max("n").alias("n"))
 
 
 def windowed(stream: DataFrame, at: str, width: str, late: str, *keys: str) -> DataFrame:
