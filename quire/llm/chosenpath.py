@@ -240,7 +240,7 @@ def _met(nodes: DataFrame, threshold: float, bucket: int) -> DataFrame:
 def _split_hot(nodes: DataFrame, threshold: float, hot: int, levels: int) -> DataFrame:
     """Splits every bucket of more than ``hot`` rows one level on, again while levels remain.
 
-    The hot paths are broadcast: there are at most (rows / hot) of them. Buckets that stay hot at the
+    The hot paths are joined; none comes to the driver. Buckets that stay hot at the
     last level hold sets alike in every drawn position; they are cut into blocks and every two blocks
     meet in a bucket of their own, with no levels left, so it is compared whole, no pair is lost and no
     task gets an unbounded bucket.
@@ -256,11 +256,9 @@ def _split_hot(nodes: DataFrame, threshold: float, hot: int, levels: int) -> Dat
 
     ready: list[DataFrame] = []
     for level in range(levels + 1):
-        counts = nodes.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > hot)
-        found = counts.collect()  # at most rows / hot paths
-        if not found:
+        large = cut(nodes.groupBy("path").agg(F.count("*").alias("n")).where(F.col("n") > hot))
+        if large.isEmpty():
             return _union([*ready, nodes])
-        large = F.broadcast(nodes.sparkSession.createDataFrame([(r["path"], r["n"]) for r in found], "path long, n long"))
         ready.append(nodes.join(large.select("path"), "path", "left_anti").select("path", "id", "sketch", "left"))
         if level == levels:
             blocks = nodes.join(large, "path").withColumn("blocks", F.ceil(F.col("n") * 2 / hot).cast("int"))

@@ -23,6 +23,7 @@ from __future__ import annotations
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -259,13 +260,20 @@ def _expanded(words: DataFrame) -> DataFrame:
     """(token, stands_for): abbreviations in the names of bodies and the full words they shorten.
 
     Full words are those that stand in many bodies; the most frequent one that begins with the
-    abbreviation is taken, else the most frequent one whose letters hold it in order.
+    abbreviation is taken, else the most frequent one whose letters hold it in order. Both meet under the
+    abbreviation's first three letters (two, if it has no more), in order anywhere in the full word.
     """
     counted = words.where("kind = 'body'").groupBy("token").agg(F.countDistinct("spelling").alias("bodies"))
     short = counted.where(F.col("token").endswith(".")).select("token", F.expr("rtrim('.', token)").alias("abbr")).where("length(abbr) between 2 and 8")
-    full = counted.where(~F.col("token").endswith(".") & (F.length("token") >= 4)).select(F.col("token").alias("full"), "bodies")
+    full = counted.where(~F.col("token").endswith(".") & (F.length("token") >= 4)).select(F.col("token").alias("full"), "bodies").where("bodies >= 2")
+
+    def heads(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for pdf in batches:
+            rows = [(h, w, n) for w, n in zip(pdf["full"], pdf["bodies"], strict=True) for h in {w[0] + x for k in (1, 2) for x in map("".join, combinations(w[1:], k))}]
+            yield pd.DataFrame(rows, columns=["head", "full", "bodies"])
+
     fits = F.regexp_like("full", F.concat(F.lit("^"), F.regexp_replace("abbr", "(.)", "$1.*")))
-    met = short.withColumn("head", F.substring("abbr", 1, 1)).join(full.withColumn("head", F.substring("full", 1, 1)), "head").where(fits & (F.length("full") > F.length("abbr")) & (F.col("bodies") >= 2))
+    met = short.withColumn("head", F.substring("abbr", 1, 3)).join(full.mapInPandas(heads, "head string, full string, bodies long"), "head").where(fits & (F.length("full") > F.length("abbr")))
     return met.groupBy("token").agg(F.max_by("full", F.struct(F.col("full").startswith(F.col("abbr")), "bodies", "full")).alias("stands_for"))
 
 
@@ -275,7 +283,7 @@ def people(df: DataFrame, column: str = "authors") -> DataFrame:
     words = parsed.select("spelling", "n", "kind", "family", "certain", F.size("words").alias("of"), F.posexplode("words").alias("at", "token"))
     # Tokens of bodies are told from those of people by their abbreviations being written out first.
     full = _expanded(words)
-    words = words.join(F.broadcast(full), "token", "left").withColumn("token", F.coalesce("stands_for", F.expr("rtrim('.', token)"))).drop("stands_for")
+    words = words.join(full, "token", "left").withColumn("token", F.coalesce("stands_for", F.expr("rtrim('.', token)"))).drop("stands_for")
     counted = words.groupBy("token").agg(F.countDistinct("spelling").alias("spellings"), F.sum("n").alias("n"))
     slips = cut(token_map(counted))
     words = cut(words.join(slips, "token", "left").withColumn("token", F.coalesce("stands_for", "token")).drop("stands_for"))

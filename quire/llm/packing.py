@@ -6,9 +6,10 @@ item that leaves the least space) from the lengths still left, and the size of l
 unused share, is opened. In the end each container is downsized to the smallest permitted size that holds
 its contents.
 
-Only (id, length) is shuffled. Items are dealt by a hash of their id into lots of about ``lot`` items; a lot is
-packed in one task on its histogram of lengths, so tasks stay equal whatever the source or length of the
-items, and all lots together leave no more than a container or two each unfilled.
+Only (id, length) is shuffled. An item longer than the capacity gives full pieces, which fill containers of their
+own where they are read, and a rest. What is left, one piece an item at most, is dealt at random into lots
+of about ``lot`` pieces; a lot is packed in one task on its histogram of lengths, so tasks stay equal whatever the
+source, length or id of the items, and all lots together leave no more than a container or two each unfilled.
 
 Defined results: an item longer than the capacity is split into pieces of the capacity and a rest, any
 other stays whole; an item of length 0 (blank or null text) is in a container too and takes no space;
@@ -86,14 +87,21 @@ def containers(items: DataFrame, windows: DataFrame, lot: int = 50_000) -> DataF
     every = sorted({c for _, c in rows})
     n = items.count()
     lots = max(1, math.ceil(n / lot))
-    table = items.sparkSession.createDataFrame(rows, "window_name string, capacity int")
-    dealt = (
-        items.select("id", "n_tokens", F.pmod(F.xxhash64("id", "n_tokens"), F.lit(lots)).cast("int").alias("lot"))
-        .join(F.broadcast(table))
-        .withColumn("pieces", F.greatest(F.ceil(F.col("n_tokens") / F.col("capacity")), F.lit(1)).cast("int"))
-        .withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.col("pieces"))))
-        .withColumn("start_token", (F.col("piece_no") - 1).cast("long") * F.col("capacity"))
-        .withColumn("piece_tokens", F.least(F.col("capacity").cast("long"), F.col("n_tokens") - F.col("start_token")))
+    if not rows:
+        return items.sparkSession.createDataFrame([], PACKED)
+    windows_ = F.array(*[F.struct(F.lit(w).alias("window_name"), F.lit(c).cast("int").alias("capacity")) for w, c in sorted(rows)])
+    base = items.select("id", "n_tokens", F.monotonically_increasing_id().alias("row")).select("*", F.explode(windows_).alias("w")).select("id", "n_tokens", "row", "w.*")
+    base = base.withColumn("full", F.floor(F.col("n_tokens") / F.col("capacity")).cast("int")).withColumn("rest", F.col("n_tokens") - F.col("full").cast("long") * F.col("capacity"))
+    whole = (
+        base.where("full > 0")
+        .withColumn("piece_no", F.explode(F.sequence(F.lit(1), F.col("full"))))
+        .select(
+            "window_name", "id", "piece_no", ((F.col("piece_no") - 1).cast("long") * F.col("capacity")).alias("start_token"), F.col("capacity").cast("long").alias("n_tokens"),
+            F.concat_ws("-", F.lit("full"), "row", "piece_no").alias("container_id"), F.col("capacity").alias("container_tokens"), F.col("capacity").alias("filled_tokens"),
+        )
+    )
+    rests = base.where("rest > 0 or n_tokens = 0").select(
+        "window_name", F.pmod(F.xxhash64("row"), F.lit(lots)).cast("int").alias("lot"), "capacity", "id", (F.col("full") + 1).alias("piece_no"), (F.col("full").cast("long") * F.col("capacity")).alias("start_token"), F.col("rest").alias("piece_tokens")
     )
 
     def fill(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
@@ -111,8 +119,7 @@ def containers(items: DataFrame, windows: DataFrame, lot: int = 50_000) -> DataF
         rows = pdf.iloc[at]
         return pd.DataFrame({"window_name": name, "id": rows["id"].to_numpy(), "piece_no": rows["piece_no"].to_numpy(), "start_token": rows["start_token"].to_numpy(), "n_tokens": rows["piece_tokens"].to_numpy(), "container_id": where, "container_tokens": size, "filled_tokens": held})
 
-    slim = dealt.select("window_name", "lot", "capacity", "id", "piece_no", "start_token", "piece_tokens")
-    return slim.groupBy("window_name", "lot").applyInPandas(fill, PACKED)
+    return whole.unionByName(rests.groupBy("window_name", "lot").applyInPandas(fill, PACKED))
 
 
 def unused_space(packed: DataFrame) -> DataFrame:

@@ -1,5 +1,6 @@
 """The dealt operators on frames: brute force, nulls, empties, repeats, ties, long texts, clashing columns."""
 
+import hashlib
 import random
 import re
 
@@ -66,6 +67,23 @@ def test_hot_buckets_are_split(spark):
     assert plain > 0 and abs(plain - split) <= 0.03 * plain
 
 
+def test_hot_buckets_equal_brute_force(spark):
+    """Pairs met through buckets that Spark splits, against a comparison of every two sets."""
+    base = [f"w{i}" for i in range(60)]
+    rnd = random.Random(2)
+    rows = []
+    for i in range(120):
+        words = list(base)
+        for _ in range(rnd.randrange(1, 6)):
+            words[rnd.randrange(60)] = f"u{rnd.randrange(10**6)}"
+        rows.append((i, "", " ".join(words)))
+    sets = {i: set(zip(w, w[1:], w[2:], strict=False)) for i, w in ((i, t.split()) for i, _, t in rows)}
+    want = {(a, b) for a in sets for b in sets if a < b and len(sets[a] & sets[b]) >= 0.6 * len(sets[a] | sets[b])}
+    frame = spark.createDataFrame(rows, "doc_id long, title string, abstract string")
+    got = {tuple(r) for r in chosenpath.near_duplicate_pairs(frame, bucket=10, hot=25).collect()}
+    assert want and got <= want and len(got) >= 0.99 * len(want)
+
+
 def test_block_buckets_lose_no_pair(spark):
     """Equal sketches never part, so blocks of a hot bucket are compared whole: every pair is met, exactly once."""
     sketch = np.arange(chosenpath.WIDTH, dtype=np.uint8)
@@ -132,11 +150,12 @@ def test_newcomers(spark):
 
 def history_rows():
     long = "Effect of intravenous iron on sleep in children with asthma: the {} {} cohort"
-    words = [f"{a}{b}{c}" for a in ("ri", "gra", "stu", "vo") for b in ("vor", "don", "lon", "tek") for c in ("mer", "da", "te", "sil")]
+    words = ["".join(chr(ord("a") + int(c, 16)) for c in hashlib.md5(str(i).encode()).hexdigest()[:12]) for i in range(64)]
     titles = [(i, 0, long.format(w, w[::-1])) for i, w in enumerate(words)]
     later = [(100 + i, 1 + i % 3, long.format(w[:2] + w[3:], w[::-1])) for i, w in enumerate(words[:12])]  # a letter left out of a rare word
-    hot = [(200 + i, 1, f"Outcomes after pandemovir therapy in region {w}{w[::-1]} of the north") for i, w in enumerate(words)] + [(300, 2, "Outcomes after pandemovir therapy in region rivormreremrovir of the north")]
-    return [(i, b, t, None, None) for i, b, t in [*titles, *later, *hot, (301, 2, long.format("rivormer", "quite"))]]
+    hot = [(200 + i, 1, f"Outcomes after pandemovir therapy in region {w[3:]}{w[:3]} of the north") for i, w in enumerate(words)]
+    hot += [(300, 2, f"Outcomes after pandemovir therapy in region {words[0][4:]}{words[0][:3]} of the north")]
+    return [(i, b, t, None, None) for i, b, t in [*titles, *later, *hot, (301, 2, long.format(words[0], "quite"))]]
 
 
 def works_of(index):
@@ -182,6 +201,35 @@ def test_packing_frames(spark):
     assert packing.containers(items.limit(0), windows).count() == 0
 
 
+def test_long_items_never_fill_one_lot(spark):
+    """Full pieces are containers of their own before anything is packed, and repeated ids spread over the lots."""
+    items = spark.createDataFrame([(1, 1_000_000), (2, 130), *[(7, 40)] * 60], "id long, n_tokens long")
+    windows = spark.createDataFrame([("w", 128)], "window_name string, capacity_tokens int")
+    rows = packing.containers(items, windows, lot=20).collect()
+    assert sum(r["n_tokens"] for r in rows) == 1_000_000 + 130 + 60 * 40 and all(r["filled_tokens"] <= r["container_tokens"] <= 128 for r in rows)
+    packed = {}
+    for r in rows:
+        packed.setdefault(r["container_id"], []).append(r)
+    assert all(sum(x["n_tokens"] for x in box) == box[0]["filled_tokens"] for box in packed.values())
+    assert sum(k.startswith("full") for k in packed) == 1_000_000 // 128 + 1
+    assert len({k.split("-")[0] for k in packed if not k.startswith("full")}) > 1
+    assert [r["piece_no"] for r in sorted((r for r in rows if r["id"] == 2), key=lambda r: r["start_token"])] == [1, 2]
+
+
+def test_mixing_to_a_size(spark):
+    """A mix of a size asked for: capped sources fall short and are reported, the others take what is left."""
+    items = spark.createDataFrame([(i, 100, "big") for i in range(1000)] + [(5000 + i, 100, "rare") for i in range(2)] + [(6000 + i, 100, "mid") for i in range(300)], "id long, n_tokens long, source string")
+    targets = spark.createDataFrame([("m", "big", 0.4, 1), ("m", "rare", 0.2, 2), ("m", "mid", 0.4, 1), ("twice", "Big", 0.5, 1), ("twice", "big ", 0.5, 3)], "mix_name string, source string, target_share double, max_repeats int")
+    drawn = mixing.mixture(items, targets, total_tokens=50_000)
+    tokens = {(r["mix_name"], r["source"]): r["t"] for r in drawn.groupBy("mix_name", "source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t")).collect()}
+    assert tokens["m", "rare"] == 400 and abs(tokens["m", "big"] - 24_800) <= 100 and abs(tokens["m", "mid"] - 24_800) <= 100
+    assert abs(tokens["twice", "big"] - 50_000) <= 100 and drawn.where("mix_name = 'twice'").agg(F.max("copies")).first()[0] == 1
+    report = {(r["mix_name"], r["source"]): r for r in mixing.mixture_report(drawn, targets).collect()}
+    assert report["m", "rare"]["shortfall"] == pytest.approx(0.192, abs=0.001) and report["m", "big"]["shortfall"] == 0 and len(report) == 4
+    whole = mixing.mixture(items, targets.where("mix_name = 'm'")).groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("copies")).alias("t"))
+    assert {r["source"]: r["t"] for r in whole.collect()}["rare"] == 400  # without a size, the scarcest source sets it
+
+
 def test_mixing(spark):
     rnd = random.Random(8)
     sources = ["big"] * 3000 + ["BIG "] * 30 + ["small-one"] * 120 + [None] * 5 + ["other"] * 50

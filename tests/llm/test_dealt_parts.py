@@ -48,6 +48,13 @@ def test_distance_and_deletions():
         ("β", "ß", False),
         ("l0", "lO", False),
         ("a.", "a,", False),
+        ("αριυκıɑօӏɡѵ", "apiu" + "ĸ" + "iaolgv", True),
+        ("ᎪᏚᎬ ꓮꓢ", "ASE AS", True),
+        ("5 − 3", "5 - 3", True),
+        ("l’été", "l'été", True),
+        ("ſ", "s", False),
+        ("ϑϖ", "θπ", False),
+        ("¨a", " ̈a", False),
     ],
 )
 def test_skeletons(a, b, same):
