@@ -570,16 +570,19 @@ def defects(pages: DataFrame, documents: DataFrame) -> DataFrame:
     matter = cut(furniture(found, documents.select(F.col("doc_id").alias("doc"), "title", "journal")))
     seen = cut(rows.mapInPandas(_scan(tables.frequent), SEEN))
     # What follows a broken end: the next body line of the page, else the first of the next page.
-    breaks = seen.where("kind = 'break'").join(matter, ["doc", "page", "line"], "left_anti").select("doc", "page", "line", "word", "mark", F.posexplode_outer("nexts").alias("at", "next")).distinct()
-    own = breaks.select("doc", "page", "line", "word", "mark", "at", F.col("page").alias("next_page"), F.col("next.line").alias("next_line"), F.col("next.word").alias("next_word"))
-    starts = seen.where("kind = 'start'").select("doc", "page", F.posexplode("nexts").alias("at", "next")).distinct()
-    starts = starts.select("doc", F.col("page").alias("next_page"), "at", F.col("next.line").alias("next_line"), F.col("next.word").alias("next_word"))
+    place = ["doc", "page", "line", "word", "mark"]
+    breaks = seen.where("kind = 'break'").select(*place, "nexts").join(matter, ["doc", "page", "line"], "left_anti")
     body = matter.select("doc", F.col("page").alias("next_page"), F.col("line").alias("next_line"))
+    own = breaks.select(*place, F.posexplode("nexts").alias("at", "next")).select(*place, "at", F.col("page").alias("next_page"), F.col("next.line").alias("next_line"), F.col("next.word").alias("next_word"))
+    starts = seen.where("kind = 'start'").select("doc", F.col("page").alias("next_page"), F.posexplode("nexts").alias("at", "next")).select("doc", "next_page", "at", F.col("next.line").alias("next_line"), F.col("next.word").alias("next_word"))
     opening = starts.join(body, ["doc", "next_page", "next_line"], "left_anti").groupBy("doc", "next_page").agg(F.min_by(F.struct("next_line", "next_word"), "at").alias("open"))
-    later = breaks.select("doc", "page", "line", "word", "mark").distinct().withColumn("next_page", F.col("page") + 1).join(opening, ["doc", "next_page"])
-    later = later.select("doc", "page", "line", "word", "mark", F.lit(9).alias("at"), "next_page", F.col("open.next_line").alias("next_line"), F.col("open.next_word").alias("next_word"))
-    ahead = own.where("next_line is not null").join(body, ["doc", "next_page", "next_line"], "left_anti").select(*later.columns).unionByName(later)
+    # Only a break with fewer than two lines after it, or the foot of the page among them, can go on overleaf.
+    later = breaks.where(F.size("nexts") < 2).select(*place).withColumn("next_page", F.col("page") + 1).join(opening, ["doc", "next_page"])
+    later = later.select(*place, F.lit(9).alias("at"), "next_page", F.col("open.next_line").alias("next_line"), F.col("open.next_word").alias("next_word"))
+    ahead = own.join(body, ["doc", "next_page", "next_line"], "left_anti").select(*later.columns).unionByName(later)
+    # A page written twice gives its breaks twice; the group keeps one of each.
     chosen = ahead.groupBy("doc", "page", "line").agg(F.min_by(F.struct("word", "mark", "next_page", "next_line", "next_word"), "at").alias("c")).select("doc", "page", "line", "c.*").where("next_word <> ''")
+    chosen = cut(chosen)
     ends = cut(_broken(chosen, tables))
     taken = ends.where("kind = 'taken'").select("doc", "page", "line")
 
