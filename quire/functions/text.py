@@ -8,6 +8,7 @@ from __future__ import annotations
 import math
 import re
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -139,7 +140,11 @@ def topic_matches(topic: str, col: Column | str, window: int = 18) -> Column:
     held = F.size(matched(terms, query_terms(col)))
     if len(terms) == 1:
         return held == 1
-    return F.when(held >= topic_terms(len(terms)), F.coalesce(window_span(terms, col, part=True) <= window, F.lit(False))).otherwise(F.lit(False))
+    # A text without the letters of enough terms is never cut into tokens.
+    low = F.lower(text_of(col))
+    letters = [low.contains(t.removesuffix("s") if len(t) > 3 else t).cast("int") for t in terms]
+    likely = reduce(lambda a, b: a + b, letters) >= topic_terms(len(terms))
+    return F.when(likely & (held >= topic_terms(len(terms))), F.coalesce(window_span(terms, col, part=True) <= window, F.lit(False))).otherwise(F.lit(False))
 
 
 # Fixed value: the headings that end a first page's zone of authors.

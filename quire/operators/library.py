@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 from quire.session import cut
 
 
+# A registrant below 1000 is a placeholder.
+DOI = "^10[.]0*[1-9][0-9]{3,}[./]"
+
+
 def contains_any(needle: str, *cols: str) -> Column:
     """Whether one of the columns holds the text, whatever its case."""
     hits = [F.lower(F.coalesce(F.col(c), F.lit(""))).contains(needle.lower()) for c in cols]
@@ -58,6 +62,14 @@ def positions(df: DataFrame, groups: list[str], order: list[Column], name: str =
     return ranged.withColumn("rank_", rank).join(sizes, here).withColumn(name, F.col("rank_") + F.col("before_")).select(*df.columns, name)
 
 
+def merged(df: DataFrame, own: str, other: str, fields: list[str]) -> DataFrame:
+    """``df`` with each field of struct ``own`` overridden by what ``other`` has, blanks aside, and ``revision``: 1, and
+    one more if that changes anything."""
+    given = {f: F.col(f"{other}.{f}").isNotNull() & (F.col(f"{other}.{f}").cast("string") != "") for f in fields}
+    changed = reduce(lambda a, b: a | b, [given[f] & ~F.col(f"{other}.{f}").eqNullSafe(F.col(f"{own}.{f}")) for f in fields])
+    return df.withColumns({f: F.when(given[f], F.col(f"{other}.{f}")).otherwise(F.col(f"{own}.{f}")) for f in fields} | {"revision": F.lit(1) + changed.cast("int")})
+
+
 def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str]) -> DataFrame:
     """Incoming rows replace existing ones of the same key; an incoming key should occur once."""
     return incoming.select(existing.columns).unionByName(existing.join(incoming.select(*keys).distinct(), keys, "left_anti"))

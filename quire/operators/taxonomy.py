@@ -37,6 +37,22 @@ def first_pack(memberships: DataFrame, packs: DataFrame) -> DataFrame:
     return joined.withColumn("parent", parent).withColumn("k_", F.row_number().over(w)).where("k_ = 1").select("node_id", "parent", "membership_role", "pack_id")
 
 
+def navigated(nodes: DataFrame, above: DataFrame, pins: DataFrame, gone: DataFrame) -> DataFrame:
+    """(pack_id, node_id, pinned, hidden): ``nodes`` as navigation shows them; a node is hidden if it or one above it
+    (``above``: pack_id, ancestor_node_id, node_id) is among those ``gone``, whatever its pins."""
+    own = nodes.join(gone.select("node_id"), "node_id", "left_semi").select("pack_id", "node_id")
+    below = above.join(gone.select(F.col("node_id").alias("ancestor_node_id")), "ancestor_node_id", "left_semi").select("pack_id", "node_id")
+    hidden = own.unionByName(below).distinct().withColumn("hidden", F.lit(True))
+    pinned = pins.select("pack_id", "node_id").distinct().withColumn("pinned", F.lit(True))
+    no = F.lit(False)
+    return nodes.join(pinned, ["pack_id", "node_id"], "left").join(hidden, ["pack_id", "node_id"], "left").select("pack_id", "node_id", F.coalesce("pinned", no).alias("pinned"), F.coalesce("hidden", no).alias("hidden"))
+
+
+def revision(*cols: str) -> Column:
+    """The first 24 digits of the SHA-256 of a row's canonical JSON: keys in order, no blanks, nulls kept."""
+    return F.substring(F.sha2(F.to_json(F.struct(*sorted(cols)), {"ignoreNullFields": "false"}), 256), 1, 24)
+
+
 def protected_upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], locked: str, value: str) -> DataFrame:
     """Incoming values over existing ones, but for rows that a person has locked; ``changed`` tells which."""
     both = existing.select(*keys, F.col(locked).alias("locked_"), F.col(value).alias("was_")).join(incoming.select(*keys, F.col(value).alias("will_")), keys, "full_outer")

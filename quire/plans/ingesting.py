@@ -16,8 +16,8 @@ from quire.operators import library as L
 from quire.session import read
 
 
-# A registrant below 1000 and a PMID of zeros are placeholders.
-DOI = "^10[.]0*[1-9][0-9]{3,}[./]"
+# A PMID of zeros is a placeholder.
+DOI = L.DOI
 PMID = "^0*[1-9][0-9]*$"
 
 

@@ -193,6 +193,22 @@ def backup_queue(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.join(policy, ["source_kind", "file_role"]).where("size_bytes <= limit_bytes").join(queued, "file_id", "left_anti").groupBy("source_kind", "file_role").agg(F.count("*").alias("n"), F.sum("size_bytes").alias("bytes"))
 
 
+def needle_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Active documents that hold a word in one of six fields or on one of their pages."""
+    pages = read(spark, sf_dir, "document_pages").where(L.contains_any("spirometry", "text")).select(F.col("document_id").alias("doc_id")).distinct().withColumn("on_page", F.lit(True))
+    told = L.contains_any("spirometry", "title", "authors", "journal", "doi", "pmid", "abstract")
+    found = _docs(spark, sf_dir).where("deleted_at is null").select("doc_id", told.alias("in_fields")).join(pages, "doc_id", "left").withColumn("on_page", F.coalesce("on_page", F.lit(False)))
+    return found.where("in_fields or on_page")
+
+
+def metadata_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One record a DOI: the first one's fields, overridden by what the last one gives, with the revision that makes."""
+    fields = ["title", "authors", "journal", "publication_year", "pmid", "source_type"]
+    rows = _docs(spark, sf_dir).where(F.lower("doi").rlike(L.DOI)).select(F.trim(F.lower("doi")).alias("doi"), "doc_id", *fields)
+    ends = rows.groupBy("doi").agg(F.min_by(F.struct("doc_id", *fields), "doc_id").alias("a"), F.max_by(F.struct(*fields), "doc_id").alias("b"), F.count("*").alias("n_records"))
+    return L.merged(ends, "a", "b", fields).select("doi", F.col("a.doc_id").alias("doc_id"), "n_records", *fields, "revision")
+
+
 def orders_by_customer(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two joins and a grouping over the star tables: lines and quantity per nation and year."""
     lines = read(spark, sf_dir, "lineitem").select("l_orderkey", "l_quantity")
@@ -210,7 +226,7 @@ def line_status_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    own = (filters_conjunctive, library_page, page_with_total, review_needed, recent_documents, project_counts, project_attached, status_histogram, ranked_status_sort, primary_file, file_names_concat, documents_without_file, missing_sources, article_detail, purge_dates, soft_delete_cascade, metadata_refresh, upsert_files, insert_ignore_titles, bulk_add_members, id_sets, tenant_scope, backup_queue, orders_by_customer, line_status_summary)
+    own = (needle_filter, metadata_merge, filters_conjunctive, library_page, page_with_total, review_needed, recent_documents, project_counts, project_attached, status_histogram, ranked_status_sort, primary_file, file_names_concat, documents_without_file, missing_sources, article_detail, purge_dates, soft_delete_cascade, metadata_refresh, upsert_files, insert_ignore_titles, bulk_add_members, id_sets, tenant_scope, backup_queue, orders_by_customer, line_status_summary)
     return {f.__name__: f for f in own}
 
 
@@ -229,6 +245,14 @@ def oracle_sql() -> dict[str, str]:
         "project_counts": "SELECT p.source, count(d.doc_id) AS n_members, count(*) FILTER (deleted_at IS NULL) AS n_active, CAST(sum(CASE WHEN reading_status = 'reference' THEN 1 ELSE 0 END) AS BIGINT) AS n_included FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) p LEFT JOIN documents d ON d.source = p.source GROUP BY p.source",
         "project_attached": "SELECT p.source, d.doc_id IS NOT NULL AS attached FROM (SELECT DISTINCT source FROM documents WHERE source IS NOT NULL) p LEFT JOIN documents d ON d.source = p.source AND d.doc_id = 42",
         "status_histogram": "SELECT reading_status, review_state, count(*) AS n, round(avg(importance), 6) AS mean_importance FROM documents GROUP BY 1, 2",
+        "needle_filter": f"""WITH p AS (SELECT DISTINCT document_id FROM document_pages WHERE {_like('spirometry', 'text')}),
+  d AS (SELECT doc_id, {_like('spirometry', 'title', 'authors', 'journal', 'doi', 'pmid', 'abstract')} AS in_fields, doc_id IN (SELECT document_id FROM p) AS on_page FROM documents WHERE deleted_at IS NULL)
+SELECT * FROM d WHERE in_fields OR on_page""",
+        "metadata_merge": f"""WITH r AS (SELECT trim(lower(doi)) AS k, * FROM documents WHERE regexp_matches(lower(doi), '{L.DOI}')),
+  e AS (SELECT k, min(doc_id) AS i, max(doc_id) AS j, count(*) AS n_records FROM r GROUP BY 1)
+SELECT k AS doi, a.doc_id, n_records, {", ".join(f"coalesce(nullif(CAST(b.{c} AS VARCHAR), ''), CAST(a.{c} AS VARCHAR))" + (" :: INT" if c == "publication_year" else "") + f" AS {c}" for c in ("title", "authors", "journal", "publication_year", "pmid", "source_type"))},
+  CAST(1 + CAST({" OR ".join(f"(coalesce(CAST(b.{c} AS VARCHAR), '') <> '' AND CAST(b.{c} AS VARCHAR) IS DISTINCT FROM CAST(a.{c} AS VARCHAR))" for c in ("title", "authors", "journal", "publication_year", "pmid", "source_type"))} AS INT) AS INT) AS revision
+FROM e JOIN documents a ON a.doc_id = i JOIN documents b ON b.doc_id = j""",
         "ranked_status_sort": "SELECT source, doc_id, CAST(row_number() OVER (PARTITION BY source ORDER BY CASE reading_status WHEN 'reading' THEN 0 WHEN 'unread' THEN 1 WHEN 'read' THEN 2 ELSE 3 END, publication_year DESC NULLS LAST, lower(coalesce(title, '')), doc_id) AS INT) AS position FROM documents WHERE deleted_at IS NULL",
         "primary_file": "SELECT d.doc_id, f.file_id, f.file_name, coalesce(f.n_files, 0) AS n_files FROM documents d LEFT JOIN (SELECT document_id, file_id, file_name, count(*) OVER (PARTITION BY document_id) AS n_files, row_number() OVER (PARTITION BY document_id ORDER BY NOT coalesce(is_primary, false), file_id) AS k FROM document_files) f ON f.document_id = d.doc_id AND f.k = 1",
         "file_names_concat": "SELECT document_id, string_agg(file_name, ' | ' ORDER BY file_name) AS file_names FROM document_files GROUP BY document_id",

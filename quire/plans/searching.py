@@ -16,6 +16,7 @@ TOPIC = "intravenous iron epilepsy"
 TWO_TERMS = "awake proning"
 NUMBERS = "study with around 200 patients and five percent severe bleeding"
 AUTHOR = "Robert"
+OWNER = "trial_portal"
 SUBJECT = "respiratory intensive care units"
 
 
@@ -209,6 +210,27 @@ def vector_qualified(spark: SparkSession, sf_dir: str) -> DataFrame:
     return kept.select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity"))
 
 
+def _approximate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    data = read(spark, sf_dir, "embeddings")
+    return vectors.approximate(data, data.where("vec_id % 20 = 0"), 10)
+
+
+def vector_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten nearest vectors of every twentieth vector as the inverted file finds them."""
+    return _approximate(spark, sf_dir).select("query_id", F.col("id").alias("vec_id"), F.round("similarity", 5).alias("similarity"), "rank")
+
+
+def vector_recall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the inverted file finds of the exact nearest 1, 5 and 10."""
+    return vectors.recall_at(_approximate(spark, sf_dir), _neighbours(spark, sf_dir), 1, 5, 10)
+
+
+def tenant_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 best pages within one owner's documents."""
+    own = _active(spark, sf_dir).where(F.col("source") == OWNER).select(F.col("doc_id").alias("document_id"), "title")
+    return retrieval.best(_page_scores(spark, sf_dir).join(own, "document_id"), 20, "score", "document_id", "page_number")
+
+
 def nearest_label(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Share of neighbours with the query's own label, per label."""
     labels = read(spark, sf_dir, "embeddings").select("vec_id", "label")
@@ -241,7 +263,7 @@ def topic_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    own = (bm25_passages, fts_documents, bm25_available, query_terms_stats, fts_query_strings, term_coverage, lexical_evidence, numeric_closeness, passage_kinds, snippets, snippet_provenance, title_intents, metadata_scores, rrf_documents, hybrid_passages, hybrid_documents, related_documents, author_search, topic_documents, document_lookup, vector_topk, vector_qualified, nearest_label, size_percentiles)
+    own = (bm25_passages, fts_documents, bm25_available, query_terms_stats, fts_query_strings, term_coverage, lexical_evidence, numeric_closeness, passage_kinds, snippets, snippet_provenance, title_intents, metadata_scores, rrf_documents, hybrid_passages, hybrid_documents, related_documents, author_search, topic_documents, document_lookup, vector_topk, vector_qualified, vector_ann, vector_recall, tenant_passages, nearest_label, size_percentiles)
     return {f.__name__: f for f in own}
 
 
@@ -409,6 +431,8 @@ SELECT doc_id, title, score FROM s WHERE score > 0""",
 SELECT doc_id, coalesce(a.m, b.m, c.m, doc_id) AS resolved_id FROM documents d LEFT JOIN a ON a.k = lower(d.doi) LEFT JOIN b ON b.k = d.pmid LEFT JOIN c ON c.k = d.normalized_title""",
         "vector_topk": VECTORS + "SELECT query_id, vec_id, round(similarity, 5) AS similarity, CAST(rank AS INT) AS rank FROM r WHERE rank <= 10",
         "vector_qualified": VECTORS + ", t AS (SELECT *, max(similarity) OVER (PARTITION BY query_id) AS top FROM r WHERE rank <= 10) SELECT query_id, vec_id, round(similarity, 5) AS similarity FROM t WHERE top >= 0.3 AND similarity >= greatest(0.3, top - 0.1)",
+        "tenant_passages": f"""WITH {PAGE_SCORES} SELECT p.document_id, page_number, score, title, row_number() OVER (ORDER BY score DESC, p.document_id, page_number) AS rank
+FROM p JOIN documents d ON d.doc_id = p.document_id AND d.deleted_at IS NULL AND d.source = '{OWNER}' ORDER BY rank LIMIT 20""",
         "nearest_label": VECTORS + "SELECT own, count(*) AS n, round(avg(CAST(own = label AS DOUBLE)), 6) AS same_share FROM r WHERE rank <= 10 GROUP BY own",
         "size_percentiles": """WITH r AS (SELECT coalesce(source_type, '') AS source_type, n_chars, row_number() OVER w - 1 AS at_, count(*) OVER (PARTITION BY coalesce(source_type, '')) - 1 AS last_
     FROM documents WHERE n_chars IS NOT NULL WINDOW w AS (PARTITION BY coalesce(source_type, '') ORDER BY n_chars))

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quire.functions import text as T
 from quire.operators import taxonomy as X
 from quire.plans.hierarchies import CLOSURE, PATHS, p4_found, p4_paths
 from quire.session import cut, read
@@ -82,6 +83,25 @@ def visible_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shown[0].unionByName(shown[1]).unionByName(shown[2])
 
 
+def navigated_nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every node of every pack with its pin and whether a retired node hides it, itself or one above it."""
+    members = _members(spark, sf_dir).where("pack_id <> '' and node_id <> ''")
+    pins = members.where(F.get_json_object("config_json", "$.pinned") == "true")
+    gone = _nodes(spark, sf_dir).where("node_status = 'retired'").select("node_id").distinct()
+    return X.navigated(members.select("pack_id", "node_id").distinct(), p4_found(spark, sf_dir), pins, gone)
+
+
+def pack_revisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A revision of each pack's record that changes with any of its fields."""
+    return read(spark, sf_dir, "specialty_packs").select("pack_id", X.revision("pack_id", "display_name", "pack_type", "selection_node_id", "curation_status").alias("revision"))
+
+
+def name_keys(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nodes whose names are the same once normalised."""
+    named = _nodes(spark, sf_dir).select("node_id", T.normalise_title("canonical_name").alias("name_key")).where("name_key <> ''")
+    return named.groupBy("name_key").agg(F.count_distinct("node_id").alias("n_nodes"), F.min("node_id").alias("first_node")).where("n_nodes > 1")
+
+
 def catalog_install(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What installing the nodes of all versions after v0 over v0's does, by action and type."""
     nodes = _nodes(spark, sf_dir)
@@ -116,7 +136,7 @@ def facet_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     """Name -> query."""
-    own = (node_search, pack_listing, catalog_checks, loops, unreachable_nodes, display_places, visible_nodes, catalog_install, united_memberships, assignment_upsert, facet_counts)
+    own = (navigated_nodes, pack_revisions, name_keys, node_search, pack_listing, catalog_checks, loops, unreachable_nodes, display_places, visible_nodes, catalog_install, united_memberships, assignment_upsert, facet_counts)
     return {f.__name__: f for f in own}
 
 
@@ -131,6 +151,13 @@ UNION ALL SELECT 'parents_without_node', count(*) FROM memberships m WHERE displ
 UNION ALL SELECT 'repeated_places', count(*) FROM (SELECT 1 FROM memberships WHERE pack_id <> '' AND node_id <> '' GROUP BY pack_id, nullif(display_parent_node_id, ''), node_id HAVING count(*) > 1)
 UNION ALL SELECT 'members_of_unknown_packs', count(*) FROM memberships m WHERE NOT EXISTS (SELECT 1 FROM specialty_packs p WHERE p.pack_id = m.pack_id)
 UNION ALL SELECT 'nodes_in_no_pack', count(*) FROM taxonomy_nodes t WHERE NOT EXISTS (SELECT 1 FROM memberships m WHERE m.node_id = t.node_id)""",
+        "navigated_nodes": CLOSURE + """, g AS (SELECT node_id FROM taxonomy_nodes WHERE node_status = 'retired'),
+  h AS (SELECT pack_id, node_id FROM n WHERE node_id IN (SELECT node_id FROM g) UNION SELECT pack_id, node_id FROM r WHERE ancestor_node_id IN (SELECT node_id FROM g)),
+  q AS (SELECT DISTINCT pack_id, node_id FROM memberships WHERE json_extract_string(config_json, '$.pinned') = 'true')
+SELECT n.pack_id, n.node_id, q.node_id IS NOT NULL AS pinned, h.node_id IS NOT NULL AS hidden FROM n LEFT JOIN q ON q.pack_id = n.pack_id AND q.node_id = n.node_id LEFT JOIN h ON h.pack_id = n.pack_id AND h.node_id = n.node_id""",
+        "pack_revisions": "SELECT pack_id, substr(sha256(CAST(to_json({'curation_status': curation_status, 'display_name': display_name, 'pack_id': pack_id, 'pack_type': pack_type, 'selection_node_id': selection_node_id}) AS VARCHAR)), 1, 24) AS revision FROM specialty_packs",
+        "name_keys": f"""SELECT name_key, count(DISTINCT node_id) AS n_nodes, min(node_id) AS first_node FROM (SELECT node_id, trim(regexp_replace(regexp_replace(translate(lower(coalesce(canonical_name, '')), '{T.ACCENTED}', '{T.PLAIN}'), '[^\\x00-\\x7f]', '', 'g'), '[^a-z0-9]+', ' ', 'g')) AS name_key FROM taxonomy_nodes)
+WHERE name_key <> '' GROUP BY 1 HAVING count(DISTINCT node_id) > 1""",
         "loops": CLOSURE + "SELECT pack_id, node_id FROM r WHERE ancestor_node_id = node_id",
         "unreachable_nodes": CLOSURE + "SELECT pack_id, node_id FROM n EXCEPT SELECT r.pack_id, r.node_id FROM r JOIN specialty_packs p ON p.pack_id = r.pack_id AND p.selection_node_id = r.ancestor_node_id EXCEPT SELECT pack_id, selection_node_id FROM specialty_packs",
         "display_places": "SELECT 'display.' || substr(sha256(pack_id || '|' || coalesce(parent, '') || '|' || node_id), 1, 24) AS display_id, pack_id, parent, node_id, sort_order FROM (SELECT pack_id, nullif(display_parent_node_id, '') AS parent, node_id, min(sort_order) AS sort_order FROM memberships WHERE pack_id <> '' AND node_id <> '' GROUP BY 1, 2, 3)",

@@ -5,6 +5,7 @@ import random
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from quire.functions import metadata as M
@@ -204,3 +205,42 @@ def test_passages_are_fused_over_survivors(spark):
     assert got[(1, 2)] == pytest.approx(1 / 61 + 0.5 / 62 + 1 / 61)
     final = retrieval.final_documents(found, spark.createDataFrame([(7, 1 / 61)], "d int, fused double"), "d", "p", 10).collect()
     assert final[0]["d"] == 1 and [r["reasons"] for r in final if r["d"] == 7] == [["related library metadata"]]
+
+
+def test_positions_equal_a_window(spark):
+    """Numbering over range partitions gives what one window gives, with ties, nulls and a hot group."""
+    rnd = random.Random(3)
+    rows = [(i, None if i % 50 == 0 else "hot" if i % 3 else f"g{i % 7}", rnd.choice([None, 1, 2, 3])) for i in range(3000)]
+    frame = spark.createDataFrame(rows, "id long, g string, v int")
+    order = [F.col("v").desc_nulls_last(), F.col("id").asc()]
+    got = {tuple(r) for r in library.positions(frame, ["g"], order).select("id", "position").collect()}
+    want = {tuple(r) for r in frame.select("id", F.row_number().over(Window.partitionBy("g").orderBy(*order)).alias("position")).collect()}
+    assert got == want and library.positions(frame.limit(0), ["g"], order).count() == 0
+
+
+def test_indexed_scores_equal_scanned_ones(spark, tmp_path):
+    rows = [(1, "Iron therapy for anaemia; iron again"), (2, "iron"), (2, "iron"), (3, None), (4, ""), (5, "nothing of it"), (6, "Ironing and therapy")]
+    frame = spark.createDataFrame(rows, "id long, text string")
+    path = retrieval.write_index(frame, ["id"], "text", f"file://{tmp_path}/index")
+    for query in ("iron therapy", "the", "of anaemia"):
+        scanned = sorted((r["id"], round(r["score"], 9)) for r in retrieval.bm25(frame, query, "text").collect())
+        assert sorted((r["id"], round(r["score"], 9)) for r in retrieval.bm25_indexed(spark, path, query).collect()) == scanned
+
+
+def test_inverted_file_recalls_nine_in_ten(spark, data):
+    frame = spark.read.parquet(f"{data}/embeddings.parquet")
+    queries = frame.where("vec_id % 20 = 0")
+    exact = vectors.neighbours(frame, queries, 10)
+    found = vectors.recall_at(vectors.approximate(frame, queries, 10), exact, 1, 10).collect()
+    assert all(r["recall"] >= 0.9 for r in found)
+    whole = vectors.approximate(frame, queries, 10, share=1.0)
+    assert {(r["query_id"], r["id"], r["rank"]) for r in whole.collect()} == {(r["query_id"], r["id"], r["rank"]) for r in exact.collect()}
+
+
+def test_merge_and_topic(spark):
+    row = spark.createDataFrame([(1, ("Title", None), ("", "x")), (2, ("Title", "x"), (None, "x"))], "id long, a struct<t:string,j:string>, b struct<t:string,j:string>")
+    assert [(r["t"], r["j"], r["revision"]) for r in library.merged(row, "a", "b", ["t", "j"]).orderBy("id").collect()] == [("Title", "x", 2), ("Title", "x", 1)]
+    frame = spark.createDataFrame([("bronchoscopy in pregnancy",), ("bronchoscopy " + " ".join(f"w{i}" for i in range(40)) + " pregnancy",), ("bronchoscopy only",), (None,)], "t string")
+    assert [r[0] for r in frame.select(T.topic_matches("bronchoscopy pregnancy", "t")).collect()] == [True, False, False, False]
+    page = spark.createDataFrame([("My Title\nA. Eapen\n\nAbstract\nEapen is cited", "my title")], "p string, h string")
+    assert page.select(T.author_zone("p", "h")).first()[0].strip() == "A. Eapen"
