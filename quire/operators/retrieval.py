@@ -52,11 +52,14 @@ def bm25(passages: DataFrame, query: str, text_col: str, terms: list[str] | None
 
 
 def write_index(passages: DataFrame, ids: list[str], text_col: str, path: str) -> str:
-    """An inverted index below ``path``: ``passages`` (row, ids, size) and ``postings`` (term, row, tf), sorted by term
-    over all files, so a query's terms and prefixes reach only the parts that hold them. Repeated rows stay rows."""
+    """An inverted index below ``path``: ``passages`` (row, ids, size), their number and mean size in ``sizes``, and
+    ``postings`` (term, row, tf), sorted by term over all files, so a query's terms and prefixes reach only the
+    parts that hold them. Repeated rows stay rows."""
     parts = int(passages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut_up = cut(passages.select(*ids, F.monotonically_increasing_id().alias("row"), T.all_terms(text_col).alias("tokens")))
-    cut_up.select("row", *ids, F.size("tokens").alias("size")).write.parquet(f"{path}/passages")
+    sized = cut_up.select("row", *ids, F.size("tokens").alias("size"))
+    sized.write.parquet(f"{path}/passages")
+    sized.agg(F.count("*").alias("total_"), F.avg("size").alias("mean_")).write.parquet(f"{path}/sizes")
     terms = cut_up.select(F.explode("tokens").alias("term"), "row").repartitionByRange(parts, "term", "row").groupBy("term", "row").agg(F.count("*").alias("tf"))
     terms.sortWithinPartitions("term", "row").write.parquet(f"{path}/postings")
     return path
@@ -72,9 +75,7 @@ def bm25_indexed(spark: SparkSession, path: str, query: str, terms: list[str] |
     counts = [f"f{i}" for i in range(len(terms))]
     held = spark.read.parquet(f"{path}/postings").where(reduce(lambda a, b: a | b, tests))
     held = held.groupBy("row").agg(*[F.sum(F.when(test, F.col("tf")).otherwise(0)).alias(c) for test, c in zip(tests, counts, strict=True)])
-    held = cut(held)
-    total = passages.agg(F.count("*").alias("total_"), F.avg("size").alias("mean_"))
-    stats = total.crossJoin(held.agg(*[F.sum((F.col(c) > 0).cast("long")).alias(f"n_{c}") for c in counts]))  # one row each
+    stats = spark.read.parquet(f"{path}/sizes").crossJoin(held.agg(*[F.sum((F.col(c) > 0).cast("long")).alias(f"n_{c}") for c in counts]))  # one row each
     found = passages.join(held, "row").join(F.broadcast(stats))  # one row
     score = F.lit(0.0)
     for c in counts:
