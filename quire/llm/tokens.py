@@ -1,12 +1,15 @@
-"""Sizes of texts in tokens of a public tokenizer. The vocabulary file is a parameter; nothing is trained."""
+"""Sizes of texts in tokens of a public tokenizer. The vocabulary file is a parameter of the driver's, which sends it
+with the job; nothing is trained."""
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 from functools import lru_cache
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,11 +34,13 @@ def token_counts(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """(id, n_tokens, *keep), written once: whole texts are tokenised in the scan's tasks and only their
     sizes go on. A null or empty text has 0 tokens; a null id is left out; a repeated id keeps each row."""
     kinds = dict(df.dtypes)
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
     rows = spread(df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text_"), *keep))
     schema = ", ".join(["id long", "n_tokens long", *[f"`{c}` {kinds[c]}" for c in keep]])
 
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder = encoder(path)
+        coder = encoder(SparkFiles.get(name))
         for pdf in batches:
             sizes = [len(coder.encode_ordinary(t)) if t else 0 for t in pdf["text_"]]
             yield pd.DataFrame({"id": pdf["id"], "n_tokens": sizes, **{c: pdf[c] for c in keep}})
