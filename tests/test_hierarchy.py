@@ -32,10 +32,12 @@ def rows(kind):
         return [("a", f"n{i}", f"n{i - 1}") for i in range(1, 41)] + [("a", "n0", None)]
     if kind == "loops":
         return [("a", "x", "x"), ("a", "p", "q"), ("a", "q", "p"), ("a", "r", "q"), ("b", "p", ""), ("b", "r", "p"), ("a", "r", "lost"), ("a", "p", "q")]
+    if kind == "hot":  # one node is the parent of most others
+        return [("a", "top", None), *[("a", f"c{i}", "top") for i in range(900)], *[("a", f"g{i}", f"c{i % 7}") for i in range(200)]]
     return [(rnd.choice("ab"), f"n{rnd.randrange(30)}", rnd.choice([None, "", *(f"n{rnd.randrange(32)}" for _ in range(6))])) for _ in range(70)]
 
 
-@pytest.mark.parametrize("kind", ["chain", "loops", "dag1", "dag2"])
+@pytest.mark.parametrize("kind", ["chain", "loops", "dag1", "dag2", "hot"])
 def test_ancestors_equal_brute_force(spark, kind):
     data = rows(kind)
     frame = spark.createDataFrame([(*r, "clash", "clash") for r in [*data, *data[:3], (None, "n1", "n2"), ("a", None, "n2"), ("a", "", "n2")]], SCHEMA)
