@@ -33,7 +33,6 @@ from quire.session import cut, spread
 WORDS = re.compile(r"[^\W_]+")
 POSITIONS = 32
 WIDTH = 2 * POSITIONS  # a row carries its run's positions, and the next run's for comparing only
-PRIME = np.uint64((1 << 61) - 1)
 MOST_HELD = 1 << 20  # pairs that a task holds before it passes them on
 NODE = "path long, id long, sketch binary, left int"  # left: levels below the node
 

@@ -40,7 +40,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm import channel
-from quire.llm.channel import DIGITS, LEAST, WORD, Reader, fold, numeric, shape, tokens
+from quire.llm.channel import DIGITS, LEAST, WORD, Reader, fold, shape, tokens
 from quire.session import cut, spread
 
 SHARE = 1e-5
@@ -411,7 +411,6 @@ def _runs(doc: int, page: int, seq: list[str], where: list[int], halves: set[int
         i = j
 
 
-KEY = "key string"
 LOOKED = "array<struct<word:string,n:bigint,doubtful:boolean,readings:array<string>,counts:array<bigint>,scores:array<double>,doubt:double>>"
 
 
@@ -420,7 +419,7 @@ def _parts(key: str) -> tuple[str, list[str], str]:
     return before, run.split(" "), after
 
 
-def _local(frequent: Frequent, looked) -> dict[str, tuple]:
+def _local(looked) -> dict[str, tuple]:
     return {r["word"]: _entry(r) for r in looked if r["n"] is not None}
 
 
@@ -467,7 +466,7 @@ def decoded(runs: DataFrame, tables: Corpus) -> DataFrame:
             rows = []
             for key, looked in zip(pdf["key"], pdf["looked"], strict=True):
                 before, run, after = _parts(key)
-                at = Both(_local(frequent.value, looked), entries)
+                at = Both(_local(looked), entries)
                 choices = [[(v, n) for v, _, n in reader.candidates(w, at.get(w))] for w in run]
                 if all(len(c) == 1 for c in choices):
                     continue
@@ -485,7 +484,7 @@ def decoded(runs: DataFrame, tables: Corpus) -> DataFrame:
             rows = []
             for key, looked, found in zip(pdf["key"], pdf["looked"], pdf["pairs"], strict=True):
                 before, run, after = _parts(key)
-                at = Both(_local(frequent.value, looked), entries)
+                at = Both(_local(looked), entries)
                 counts = Both({(r["a"], r["b"]): r["n"] for r in found} if found is not None else {}, pairs)
                 best = reader.decode((before, _count(entries, before)), run, (after, _count(entries, after)), at, counts)
                 known = [bool(e and e[0]) for e in map(at.get, run)]
