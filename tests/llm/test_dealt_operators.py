@@ -187,6 +187,59 @@ def test_slips_of_rare_words_link_in_long_lists_too(spark, monkeypatch):
         assert {(r["first_id"], r["doc_id"]) for r in history.newcomers(docs, files).collect()} == want
 
 
+def slipped(word, rnd):
+    at = rnd.randrange(len(word) - 1)
+    return rnd.choice([word[:at] + word[at + 1 :], word[:at] + "q" + word[at:], word[:at] + "q" + word[at + 1 :], word[:at] + word[at + 1] + word[at] + word[at + 2 :]])
+
+
+def test_every_pair_of_same_titles_links_however_long_the_lists(spark, monkeypatch):
+    """All pairs that ``same_title`` accepts, found by comparing all, are linked: with slips in every word, in the only rare word, or between common ones."""
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefghklmnoprstu") for _ in range(n)) for n in (4, 5, 6, 7, 8, 9, 10, 11, 12)]
+    words += [w[:2] + "z" + w[3:] for w in words[:6]]  # common words that are slips of common words
+    titles = [" ".join([*rnd.sample(words, 4), *["pandemovir"] * (i % 3 == 0), "12"[i % 2]]) for i in range(90)]
+    later = []
+    for i in range(70):
+        title = rnd.choice(titles + later).split()
+        for at in range(len(title)) if i % 3 == 0 else rnd.sample(range(len(title)), 2):
+            for _ in range(rnd.randrange(3)):
+                title[at] = slipped(title[at], rnd) if len(title[at]) > 4 else title[at]
+        rnd.shuffle(title)
+        later.append(" ".join(title))
+    later += ["gradonda stulonte pandemovir 1", "gardonda stulontes pandemovir 1", "gradonda stulonte pandemovir 2", *[f"{rnd.choice(words)} {slipped(w, rnd)} pandemovir 1" for w in words]]
+    rows = [(i, 1 + (i - 90) % 3 if i >= 90 else 0, f"{t} of the", None, None) for i, t in enumerate(titles + later)]
+    docs = spark.createDataFrame(rows, "doc_id long, import_batch int, title string, normalized_title string, doi string")
+    files = spark.createDataFrame([], "document_id long, sha256 string")
+    work = None
+    for long in (1000, 3):
+        monkeypatch.setattr(history, "LONG", long)
+        index = history.add_all(docs, files)
+        if work is None:
+            speller = history.Speller(index.common)
+            repaired = [" ".join(speller.repair(w) for w in t.split()) for _, _, t, _, _ in rows]
+            same = [(a, b) for b in range(len(rows)) for a in range(b) if len(rows[a][2]) >= 24 <= len(rows[b][2]) and history.same_title(repaired[a], repaired[b])]
+            work = list(range(len(rows)))
+            for _ in rows:
+                for a, b in same:
+                    work[a] = work[b] = min(work[a], work[b])
+            assert index.common and sum(sorted(repaired[a].split()) != sorted(repaired[b].split()) for a, b in same) > 30
+        got = works_of(index)
+        assert [got.get(i, i) for i in range(len(rows))] == work
+
+
+def test_slips_in_all_rare_words_link(spark, monkeypatch):
+    """Two slips in the only rare word; slips in two rare words while the third stands in a long list."""
+    long = "Effect of intravenous iron on sleep in children with asthma: the {} cohort"
+    base = [(i, 0, long.format("".join(chr(ord("a") + int(c, 16)) for c in hashlib.md5(str(i).encode()).hexdigest()[:12])), None, None) for i in range(30)]
+    pair = [(40, 1, long.format("rivormer"), None, None), (41, 2, long.format("rixorner"), None, None)]
+    hot = [(50 + i, 1, f"Outcomes after pandemovir{' plus' * i}", None, None) for i in range(20)]
+    hot += [(70 + i, 1, f"Stulonte gradonda pandemovir {i}", None, None) for i in range(10)] + [(80, 2, "Stulonta gradondas pandemovir 7", None, None)]
+    docs = spark.createDataFrame([*base, *pair, *hot], "doc_id long, import_batch int, title string, normalized_title string, doi string")
+    monkeypatch.setattr(history, "LONG", 5)
+    got = {(r["first_id"], r["doc_id"]) for r in history.newcomers(docs, spark.createDataFrame([], "document_id long, sha256 string")).collect()}
+    assert got == {(40, 41), (77, 80)}
+
+
 def test_packing_frames(spark):
     items = spark.createDataFrame([(1, 700), (2, 300), (3, 0), (4, 256), (4, 256), (5, 2500)], "id long, n_tokens long")
     windows = spark.createDataFrame([("small", 256), ("large", 1024), (None, 5)], "window_name string, capacity_tokens int")

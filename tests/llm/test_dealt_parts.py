@@ -106,6 +106,9 @@ def test_titles():
     assert not same("trial of aspirin part i", "trial of aspirin part ii")
     assert not same("trial of aspirin in rivormer", "trial of aspirin in gradonda")
     assert same("trial of aspirin in rivom", "trial of aspirin in rivxmy") and same("trial of aspirin in rivxmy", "trial of aspirin in rivom")
+    # The first word is nearer to the one word that the second needs.
+    assert same("trial of pandemovic pandemxxir", "trial of pandemovir pandemosac") and same("trial of pandemovir pandemosac", "trial of pandemovic pandemxxir")
+    assert not same("trial of pandemovic pandemxxir", "trial of pandemovir pandemovirxyz")
     assert history.normalise("Été — ﬁn de l’Étude!") == "ete fin de l etude"
     assert history.normalise(None) == ""
     speller = history.Speller({"treatment": 50, "study": 40})
